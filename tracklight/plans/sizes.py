@@ -1,0 +1,19 @@
+"""Broadcast only what was counted and found small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast if `df` has at most `max_rows` rows, else leave the join to AQE.
+
+    Runs one job that stops after `max_rows + 1` rows. For reference tables such as message
+    templates, which are expected to be tiny but are not bounded by their schema.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
