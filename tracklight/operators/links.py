@@ -103,9 +103,9 @@ def _judge_adds(links: DataFrame, changes: DataFrame) -> DataFrame:
     keys = adds.select("key").distinct()
     stays = matched_keys(stored.unionByName(adds.select("seq", "url", "since", "until")), keys)
     stays = with_interval_pieces(
-        stays.select("seq", "key", "since", "until"), F.col("since"), F.col("until"), levels
+        stays.select("seq", "key", "since", "until"), F.col("since"), F.col("until"), F.lit(levels)
     ).select("seq", "key", LEVEL, PIECE)
-    points = with_point_pieces(adds.select("seq", "key"), F.col("seq"), levels)
+    points = with_point_pieces(adds.select("seq", "key"), F.col("seq"), F.lit(levels))
     stays, points = stays.checkpoint(), points.checkpoint()
 
     where = ["key", LEVEL, PIECE]

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import ntz
-from ..plans.scans import row_numbers, running
+from ..plans.scans import row_numbers, running, with_blocks
+from ..session import ensure_checkpoint_dir
 from .usage import MEMO_ACTION
 
 ADD, EDIT, DELETE = "add", "edit", "delete"
@@ -38,7 +39,7 @@ def _judged(memos: DataFrame, changes: DataFrame) -> DataFrame:
     kind = F.col("kind")
     step = F.when(kind == ADD, 1).when(kind == DELETE, -1).otherwise(0)
     staged = running(
-        changes.withColumn("_step", step),
+        with_blocks(changes.withColumn("_step", step), "seq"),
         ["key"],
         "seq",
         {
@@ -65,7 +66,9 @@ def apply_memo_changes(memos: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     by one. `pos` of the memos and `seq` are dense, unique and not negative; keys are not NULL.
     """
     fields = ("title", "contents", "datetime", "autoDelete")
-    judged = _judged(memos, changes)
+    ensure_checkpoint_dir(memos.sparkSession)
+    # Judged without the contents, and once for both results.
+    judged = _judged(memos, changes.select("seq", "kind", "key")).checkpoint()
     kind, before = F.col("kind"), F.col("_before")
     refused = (kind != ADD) & (before <= 0)
     reason = F.when(kind == DELETE, F.lit(NO_SUCH_DELETE)).otherwise(F.lit(NO_SUCH_EDIT))
@@ -75,39 +78,30 @@ def apply_memo_changes(memos: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     # head. `_at` numbers the queue from 0, so the first `_deleted` numbers are gone, and only
     # edits made after the last delete concern the head that is left.
     accepted = judged.filter(~refused)
-    deleted = accepted.groupBy("key").agg(
+    per_key = accepted.groupBy("key").agg(
         F.sum(F.when(kind == DELETE, 1).otherwise(0)).alias("_deleted"),
-        F.max_by(
-            F.struct(F.struct(*fields).alias("f"), F.col("_gone").alias("gone")),
-            F.when(kind == EDIT, F.col("seq")),
-        ).alias("_edit"),
-    )
-    initial = row_numbers(memos, "pos", "_at", ["key"]).select(
-        "pos", "key", *fields, (F.col("_at") - 1).alias("_at")
+        F.max_by(F.struct("seq", "_gone"), F.when(kind == EDIT, F.col("seq"))).alias("_edit"),
     )
+    gone = F.coalesce("_deleted", F.lit(0))
+    edited = (F.col("_at") == gone) & (F.col("_edit._gone") == gone)
     last_pos = memos.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("pos")).scalar()
+    stored = row_numbers(memos, "pos", "_at", ["key"]).withColumn("_at", F.col("_at") - 1)
     added = accepted.filter(kind == ADD).select(
         (last_pos + 1 + F.col("seq")).alias("pos"),
         "key",
-        *fields,
+        F.col("seq").alias("_source"),
         (F.coalesce("_c0", F.lit(0)) + F.col("_adds")).alias("_at"),
     )
-    gone = F.coalesce("_deleted", F.lit(0))
-    edited = (F.col("_at") == gone) & (F.col("_edit")["gone"] == gone)
-    after = (
-        initial.unionByName(added)
-        .join(deleted, "key", "left")
+    left = (
+        stored.unionByName(added, allowMissingColumns=True)
+        .join(per_key, "key", "left")
         .filter(F.col("_at") >= gone)
-        .select(
-            "pos",
-            "key",
-            *[
-                F.when(edited, F.col("_edit")["f"][f]).otherwise(F.col(f)).alias(f)
-                for f in fields
-            ],
-        )
+        .withColumn("_source", F.when(edited, F.col("_edit.seq")).otherwise(F.col("_source")))
     )
-    return after, rejected
+    kept = left.filter(F.col("_source").isNull()).select("pos", "key", *fields)
+    written = left.filter(F.col("_source").isNotNull()).select("pos", "key", "_source")
+    contents = changes.select(F.col("seq").alias("_source"), *fields)
+    return kept.unionByName(written.join(contents, "_source").drop("_source")), rejected
 
 
 def memo_usage(changes: DataFrame, rejected: DataFrame) -> DataFrame:

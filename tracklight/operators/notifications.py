@@ -16,9 +16,6 @@ INBOX_ROWS = 100
 
 INBOX_COLUMNS = ("id", "type", "title", "message", "action_url", "is_read", "created_at")
 
-# Connection times are cut into pieces of whole minutes since 1970: 2^27 minutes reach 2225.
-_MINUTES = 27
-
 
 def next_notifications(messages: DataFrame, stored: DataFrame, as_of) -> DataFrame:
     """Rows to append for new messages {seq, target_ip, type, title, message, action_url}.
@@ -100,20 +97,32 @@ def _open_at(pushed: str) -> Column:
     )
 
 
-def _push_pieces(pushes: DataFrame) -> DataFrame:
-    return with_point_pieces(pushes, _minute(F.col("sent_at")), _MINUTES)
-
+def _pieces(pushes: DataFrame, connections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pushes and connections by client and piece of time, in minutes from the first push.
 
-def _connection_pieces(connections: DataFrame) -> DataFrame:
-    start = _minute(F.col("connected_at"))
-    end = F.coalesce(_minute(F.col("closed_at")) + 1, F.lit(1 << _MINUTES).cast("long"))
+    Only the time from the first to the last push counts, so a short batch has few pieces and an
+    open end costs no more than any other.
+    """
+    bounds = pushes.agg(
+        F.struct(
+            F.coalesce(F.min(_minute(F.col("sent_at"))), F.lit(0)).alias("first"),
+            F.coalesce(F.max(_minute(F.col("sent_at"))), F.lit(0)).alias("last"),
+        ).alias("bounds")
+    ).scalar()
+    first, last = F.col("_bounds.first"), F.col("_bounds.last")
+    levels = F.ceil(F.log2((last - first + 1).cast("double"))).cast("int") + 1
+    points = with_point_pieces(
+        pushes.withColumn("_bounds", bounds), _minute(F.col("sent_at")) - first, levels
+    )
+    start = F.greatest(_minute(F.col("connected_at")), first) - first
+    end = F.least(F.coalesce(_minute(F.col("closed_at")), last), last) + 1 - first
     renamed = connections.select(
         F.col("id").alias("connection_id"),
         F.col("ip").alias("target_ip"),
         "connected_at",
         "closed_at",
-    )
-    return with_interval_pieces(renamed, start, end, _MINUTES)
+    ).withColumn("_bounds", bounds)
+    return points.drop("_bounds"), with_interval_pieces(renamed, start, end, levels).drop("_bounds")
 
 
 def deliverable(pushes: DataFrame, connections: DataFrame) -> DataFrame:
@@ -123,15 +132,15 @@ def deliverable(pushes: DataFrame, connections: DataFrame) -> DataFrame:
     client and a piece of time, so pairs that are not in the result are (but for those within one
     minute of an end) never formed, and one busy client spreads over many join keys.
     """
-    keys = ["target_ip", LEVEL, PIECE]
-    pairs = _push_pieces(pushes).join(_connection_pieces(connections), keys)
+    points, stays = _pieces(pushes, connections)
+    pairs = points.join(stays, ["target_ip", LEVEL, PIECE])
     return pairs.filter(_open_at("sent_at")).select(*pushes.columns, "connection_id")
 
 
 def undeliverable(pushes: DataFrame, connections: DataFrame) -> DataFrame:
     """Pushes whose client has no open connection; they fail and are not stored."""
-    pieces = _push_pieces(pushes.select("push_id", "target_ip", "sent_at")).alias("p")
-    open_pieces = _connection_pieces(connections).alias("c")
+    points, stays = _pieces(pushes.select("push_id", "target_ip", "sent_at"), connections)
+    pieces, open_pieces = points.alias("p"), stays.alias("c")
     match = (
         (F.col("p.target_ip") == F.col("c.target_ip"))
         & (F.col(f"p.{LEVEL}") == F.col(f"c.{LEVEL}"))

@@ -15,11 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
+BLOCK = "_block"
 RANK_BUCKET_DIGITS = 3  # hex digits of the tie-breaking hash: 4,096 buckets
 
 _AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def with_blocks(df: DataFrame, seq: str) -> DataFrame:
+    """Add the block of each row as column `_block`."""
+    return df.withColumn(BLOCK, F.shiftright(F.col(seq), BLOCK_BITS))
+
+
 def _combine(how: str, first: Column, second: Column) -> Column:
     if how == "sum":
         return F.coalesce(first, F.lit(0)) + F.coalesce(second, F.lit(0))
@@ -36,31 +42,30 @@ def running(
     """Add for each `name: (how, value)` the sum, min or max over the earlier rows of the key.
 
     `inclusive` takes the row itself in. Sums start at 0, min and max at NULL. Keys must not be NULL.
+    Of several scans in a row, the first input made by `with_blocks` saves shuffling again.
     """
-    block = F.shiftright(F.col(seq), BLOCK_BITS)
-    staged = df.withColumn("_block", block)
-    for name, (_, value) in values.items():
-        staged = staged.withColumn(f"_v_{name}", value)
-    starts = staged.groupBy(*keys, "_block").agg(
+    staged = df if BLOCK in df.columns else with_blocks(df, seq)
+    staged = staged.withColumns({f"_v_{name}": value for name, (_, value) in values.items()})
+    starts = staged.groupBy(*keys, BLOCK).agg(
         *[_AGGREGATES[how](f"_v_{name}").alias(f"_t_{name}") for name, (how, _) in values.items()]
     )
     over_blocks = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = starts.select(
         *keys,
-        "_block",
+        BLOCK,
         *[
             _AGGREGATES[how](f"_t_{name}").over(over_blocks).alias(f"_s_{name}")
             for name, (how, _) in values.items()
         ],
     )
     inside = (
-        Window.partitionBy(*keys, "_block")
+        Window.partitionBy(*keys, BLOCK)
         .orderBy(seq)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    return staged.join(starts, [*keys, "_block"]).select(
+    return staged.join(starts, [*keys, BLOCK]).select(
         *df.columns,
         *[
             _combine(how, F.col(f"_s_{name}"), _AGGREGATES[how](f"_v_{name}").over(inside)).alias(name)

@@ -836,7 +836,7 @@ ORACLE["stream_usage_counts"] = _sql(
 )
 _SERVICE = """WITH service AS (
   SELECT event_id, ts, event_type IN ('signup', 'view') AS connects, event_type = 'error' AS closes,
-    '10.0.0.' || (CASE WHEN event_type = 'error' THEN event_id - 40 ELSE event_id END % 20) AS ip
+    '10.0.0.' || user_id AS ip
   FROM events),
 live AS (
   SELECT c.event_id AS id, c.ip, c.ts AS connected_at, x.ts AS closed_at FROM service c

@@ -531,8 +531,9 @@ def attachment_types(spark, d):
 
 
 def _stream(spark, d, name):
-    schema = v.table(spark, d, name).schema
-    return tables.read_usage_stream(spark, d, schema=schema, pattern=f"{name}.parquet")
+    return tables.read_usage_stream(
+        spark, d, schema=v.given_schema(name), pattern=f"{name}.parquet"
+    )
 
 
 @register

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import usage
 from ..operators.memos import ADD, DELETE, EDIT
@@ -34,8 +35,32 @@ CONFIG_JSON = (
 )
 
 
+# Declared, so that building a query starts no job to read a schema.
+GIVEN = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def given_schema(name: str) -> T.StructType:
+    return T.StructType.fromDDL(GIVEN[name])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _hours(n: Column) -> Column:
@@ -301,7 +326,7 @@ def service_events(events: DataFrame) -> DataFrame:
         .when(kind == "error", F.lit("close"))
         .otherwise(F.lit("push"))
         .alias("kind"),
-        _text("10.0.0.", F.when(kind == "error", n - 40).otherwise(n) % 20).alias("ip"),
+        F.when(kind != "error", _text("10.0.0.", F.col("user_id"))).alias("ip"),
         F.when(connects, n).when(kind == "error", n - 40).alias("connection_id"),
         F.when(~connects & (kind != "error"), n).alias("push_id"),
         "ts",

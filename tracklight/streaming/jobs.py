@@ -140,14 +140,18 @@ def usage_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def connection_intervals(events: DataFrame) -> DataFrame:
-    """Connect and close events as connections; a close without its connect is ignored."""
-    kind = F.col("kind")
+    """Connect and close events as connections; a close without its connect is ignored.
+
+    A close needs no ip: the client of a connection is the one that connected.
+    """
+    connects = F.col("kind") == CONNECT
     return (
-        events.filter(kind.isin(CONNECT, CLOSE))
-        .groupBy(F.col("connection_id").alias("id"), "ip")
+        events.filter(F.col("kind").isin(CONNECT, CLOSE))
+        .groupBy(F.col("connection_id").alias("id"))
         .agg(
-            F.min(F.when(kind == CONNECT, F.col("ts"))).alias("connected_at"),
-            F.min(F.when(kind == CLOSE, F.col("ts"))).alias("closed_at"),
+            F.min(F.when(connects, F.col("ip"))).alias("ip"),
+            F.min(F.when(connects, F.col("ts"))).alias("connected_at"),
+            F.min(F.when(~connects, F.col("ts"))).alias("closed_at"),
         )
         .filter(F.col("connected_at").isNotNull())
     )
