@@ -60,7 +60,8 @@ def _members(column: str, value: Any) -> Column:
 def _containing(text: str) -> str:
     # `%`, `_` and the backslash keep their LIKE meaning; a backslash before any other character
     # means that character.
-    return "%" + re.sub(r"\\([^%_\\])", r"\1", text) + "%"
+    plain = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], text, flags=re.DOTALL)
+    return f"%{plain}%"
 
 
 def predicates(wanted: IssueFilter) -> list[Column]:
