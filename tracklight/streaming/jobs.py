@@ -140,21 +140,26 @@ def usage_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def connection_intervals(events: DataFrame) -> DataFrame:
-    """Connect and close events as connections; a close without its connect is ignored.
+    """Connect and close events as connections.
 
-    A close needs no ip: the client of a connection is the one that connected.
+    A connection ends with its first close from the moment it was made; earlier closes are
+    ignored, as are those of unknown connections. A close needs no ip.
     """
-    connects = F.col("kind") == CONNECT
-    return (
-        events.filter(F.col("kind").isin(CONNECT, CLOSE))
+    ts, kind = F.col("ts"), F.col("kind")
+    made = (
+        events.filter(kind == CONNECT)
         .groupBy(F.col("connection_id").alias("id"))
-        .agg(
-            F.min(F.when(connects, F.col("ip"))).alias("ip"),
-            F.min(F.when(connects, F.col("ts"))).alias("connected_at"),
-            F.min(F.when(~connects, F.col("ts"))).alias("closed_at"),
-        )
-        .filter(F.col("connected_at").isNotNull())
+        .agg(F.min_by("ip", "ts").alias("ip"), F.min("ts").alias("connected_at"))
+    )
+    ended = (
+        events.filter(kind == CLOSE)
+        .select(F.col("connection_id").alias("id"), "ts")
+        .join(made.select("id", "connected_at"), "id")
+        .filter(ts >= F.col("connected_at"))
+        .groupBy("id")
+        .agg(F.min("ts").alias("closed_at"))
     )
+    return made.join(ended, "id", "left")
 
 
 def _advance(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
