@@ -157,6 +157,17 @@ def test_list_order_and_pages(listed):
         order("ascend", "issue_idx; drop table")
 
 
+@pytest.mark.parametrize("order", ["ascend", "descend", None, "sideways"])
+def test_pages_after_a_row_fit_together(listed, order):
+    key = "delaycount" if order else "createdate"
+    whole = [r.issue_idx for r in listing.listed_issues(*listed, None, order, key, size=9).collect()]
+    seen, last = [], None
+    while page := listing.listed_issues(*listed, None, order, key, size=2, after=last).collect():
+        seen += [r.issue_idx for r in page]
+        last = (page[-1][key], page[-1].issue_idx)
+    assert seen == whole and len(whole) == 5
+
+
 def test_list_columns(listed):
     df = listing.issue_list(*listed, size=1)
     assert df.columns == [*listing.ISSUE_COLUMNS, "workflow"]

@@ -46,6 +46,20 @@ def test_counters(frame):
     assert rows(usage.merge_counts(a, b))[0] == ("202401", "a", "link", 2)
 
 
+def test_merge_rewrites_only_touched_months(spark, frame, tmp_path):
+    from tracklight.sources import tables
+
+    path = str(tmp_path / "actions")
+    old = [hits(f"20240{m}", "a", "link", m) for m in (1, 2, 3)]
+    tables.write_table(frame(schemas.ACTIONS, old), path, "date")
+    stored = tables.read_table(spark, "actions", path)
+    merged = usage.merge_touched(stored, frame(schemas.ACTIONS, [hits("202402", "a", "link", 5)]))
+    assert rows(merged) == [("202402", "a", "link", 7)]
+    tables.write_table(merged, path, "date")
+    after = tables.read_table(spark, "actions", path).select("date", "ip", "action", "cnt")
+    assert [r[3] for r in rows(after)] == [1, 7, 3]
+
+
 def test_totals(frame):
     visits = frame(
         schemas.VISITS,

@@ -77,9 +77,12 @@ def only_new(candidates: DataFrame, issues: DataFrame) -> DataFrame:
     """Candidates whose issue_number is not in use, be it by a deleted issue.
 
     The numbers are made distinct before the join: most issues may share the temporary number.
+    Candidates without a number are new, and stay out of the join, where they would be one key.
     """
-    used = issues.filter(F.col("issue_number").isNotNull()).select("issue_number").distinct()
-    return candidates.join(used, "issue_number", "left_anti")
+    number = F.col("issue_number")
+    used = issues.filter(number.isNotNull()).select("issue_number").distinct()
+    numbered = candidates.filter(number.isNotNull()).join(used, "issue_number", "left_anti")
+    return numbered.select(*candidates.columns).unionByName(candidates.filter(number.isNull()))
 
 
 def seed_workflow(issue_ids: DataFrame, status: int | None = NEW_STAGE_STATUS) -> DataFrame:

@@ -20,8 +20,8 @@ DUPLICATED = "url duplicated"
 _FIELDS = ("category", "description", "linkimage")
 
 
-def matched_keys(urls: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of `urls` once per key {key} they would make a duplicate, as column `key`.
+def _with_cuts(urls: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `urls` once per key {key} they could make a duplicate, as column `key`.
 
     A stored URL is cut to each key length in use, so the prefix test is an equi-join. There are
     at most as many lengths as characters in the longest key.
@@ -31,17 +31,19 @@ def matched_keys(urls: DataFrame, keys: DataFrame) -> DataFrame:
     short_enough = F.filter("_lengths", lambda n: n <= F.length(url))
     cuts = F.transform(short_enough, lambda n: F.substring(url, F.lit(1), n))
     candidates = F.when(is_login_link(url), F.array(link_key(url))).otherwise(cuts)
-    return (
-        urls.withColumn("_lengths", lengths)
-        .select(*urls.columns, F.explode(candidates).alias("key"))
-        .join(keys.select("key").distinct(), "key", "left_semi")
-    )
+    return urls.withColumn("_lengths", lengths).select(*urls.columns, F.explode(candidates).alias("key"))
 
 
 def _duplicate_keys(candidates: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates with their key, and the keys that are taken.
+
+    Both sides of the join are made distinct first, so a prefix shared by most links is one row
+    per task before the shuffle.
+    """
     keyed = candidates.withColumn("key", link_key(F.col("url")))
-    urls = links.select("url").distinct()
-    return keyed, matched_keys(urls, keyed.select("key")).select("key").distinct()
+    keys = keyed.select("key").distinct()
+    cuts = _with_cuts(links.select("url"), keys).select("key").distinct()
+    return keyed, keys.join(cuts, "key", "left_semi")
 
 
 def duplicate_links(candidates: DataFrame, links: DataFrame) -> DataFrame:
@@ -101,32 +103,34 @@ def _judge_adds(links: DataFrame, changes: DataFrame) -> DataFrame:
         )
     )
     keys = adds.select("key").distinct()
-    stays = matched_keys(stored.unionByName(adds.select("seq", "url", "since", "until")), keys)
+    stays = _with_cuts(stored.unionByName(adds.select("seq", "url", "since", "until")), keys)
     stays = with_interval_pieces(
-        stays.select("seq", "key", "since", "until"), F.col("since"), F.col("until"), F.lit(levels)
+        stays.join(keys, "key", "left_semi").select("seq", "key", "since", "until"), F.col("since"), F.col("until"), F.lit(levels)
     ).select("seq", "key", LEVEL, PIECE)
     points = with_point_pieces(adds.select("seq", "key"), F.col("seq"), F.lit(levels))
     stays, points = stays.checkpoint(), points.checkpoint()
 
     where = ["key", LEVEL, PIECE]
-    meets = lambda some, others: (
-        some.join(others.select(*where).distinct(), where, "left_semi").select("seq").distinct()
-    )
-    accepted = spark.createDataFrame([(-1,)], "seq long")
-    open_ = adds.select("seq").checkpoint()
-    while not open_.isEmpty():
-        open_points = points.join(open_, "seq", "left_semi")
-        refused = meets(open_points, stays.join(accepted, "seq", "left_semi"))
-        unsure = meets(open_points, stays.join(open_, "seq", "left_semi"))
-        judged = (
-            open_.join(refused.withColumn("_no", F.lit(True)), "seq", "left")
-            .join(unsure.withColumn("_wait", F.lit(True)), "seq", "left")
-            .checkpoint()
+    sure, seq = F.col("_sure"), F.col("seq")
+    marked, open_points = stays.withColumn("_sure", seq < 0), points
+    settled = spark.createDataFrame([], "seq long, _sure boolean")
+    while True:
+        # Of the URLs an add meets: True if one is surely present, False if one may be, else NULL.
+        spots = marked.groupBy(*where).agg(F.max("_sure").alias("_sure"))
+        met = open_points.join(spots, where, "left").groupBy("seq").agg(F.max("_sure").alias("_sure"))
+        met = met.checkpoint()
+        settled = settled.unionByName(met.filter(sure.isNull() | sure))
+        waiting = met.filter(~sure).select("seq")
+        if waiting.isEmpty():
+            return settled.filter(sure.isNull()).select("seq")
+        open_points = open_points.join(waiting, "seq", "left_semi")
+        answers = settled.select("seq", sure.isNull().alias("_accepted"))
+        accepted = F.col("_accepted")
+        marked = (
+            stays.join(answers, "seq", "left")
+            .filter(accepted.isNull() | accepted)
+            .withColumn("_sure", (seq < 0) | F.coalesce(accepted, F.lit(False)))
         )
-        settled = judged.filter(F.col("_no").isNull() & F.col("_wait").isNull()).select("seq")
-        accepted = accepted.unionByName(settled)
-        open_ = judged.filter(F.col("_no").isNull() & F.col("_wait").isNotNull()).select("seq")
-    return accepted.filter(F.col("seq") >= 0)
 
 
 def apply_link_changes(links: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import ISSUES, WORKFLOW
 from .filters import IssueFilter, filter_issues
 from .stages import nest_workflow, with_current_stage
 
@@ -31,6 +32,8 @@ ISSUE_COLUMNS = (
     "completedate",
 )
 
+ISSUE_TYPES = {f.name: f.dataType for schema in (ISSUES, WORKFLOW) for f in schema}
+
 # A page up to this size is sent to all executors to look up its workflow rows.
 BROADCAST_PAGE_ROWS = 10_000
 
@@ -51,6 +54,20 @@ def list_order(order: str | None, field: str | None) -> list[Column]:
     return [key, F.col("issue_idx").asc()]
 
 
+def _after(last: tuple, order: str | None, field: str | None) -> Column:
+    """Rows that come after the one with sort value and issue_idx `last`, in `list_order`."""
+    value, idx = last
+    if order and order not in ("ascend", "descend"):
+        return F.col("issue_idx") > idx
+    key, rising = F.col(field if order else "createdate"), order == "ascend"
+    later = F.col("issue_idx") > idx
+    if value is None:
+        return (key.isNull() & later) | (F.lit(not rising) & key.isNotNull())
+    value = F.lit(value).cast(ISSUE_TYPES[field if order else "createdate"])
+    further = (key > value) | key.isNull() if rising else key < value
+    return further | ((key == value) & later)
+
+
 def listed_issues(
     issues: DataFrame,
     workflow: DataFrame,
@@ -59,9 +76,17 @@ def listed_issues(
     field: str | None = None,
     page: int = 1,
     size: int | None = None,
+    after: tuple | None = None,
 ) -> DataFrame:
-    """The 20 scalar columns of the issue list, ordered and paged."""
+    """The 20 scalar columns of the issue list, ordered and paged.
+
+    `after`, the sort value and issue_idx of the last row seen, starts behind that row: it gives
+    the next page without counting through all earlier ones.
+    """
     rows = filter_issues(with_current_stage(issues, workflow), wanted).select(*ISSUE_COLUMNS)
+    if after is not None:
+        list_order(order, field)  # checks the field
+        rows = rows.filter(_after(after, order, field))
     keys = list_order(order, field)
     if size and not keys:
         keys = [F.col("issue_idx").asc()]  # any order will do, but pages must fit together
@@ -80,13 +105,14 @@ def issue_list(
     field: str | None = None,
     page: int = 1,
     size: int | None = None,
+    after: tuple | None = None,
 ) -> DataFrame:
     """The issue list with the nested workflow of each issue.
 
     A page is cut first, so only the workflow rows of its issues are grouped: its keys are
     broadcast to the workflow scan if the page is small, and joined by shuffle otherwise.
     """
-    rows = listed_issues(issues, workflow, wanted, order, field, page, size)
+    rows = listed_issues(issues, workflow, wanted, order, field, page, size, after)
     if not size:
         # Every listed issue has at least the row of its current stage, so none is lost.
         nested = rows.join(nest_workflow(workflow), "issue_idx")

@@ -51,6 +51,16 @@ def merge_counts(current: DataFrame, delta: DataFrame) -> DataFrame:
     return current.unionByName(delta).groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
 
 
+def merge_touched(current: DataFrame, delta: DataFrame) -> DataFrame:
+    """The months of a counter table that new counts change, merged.
+
+    With the table partitioned by `date`, only these partitions are read, and writing the
+    result with `write_table(.., partition_by="date")` replaces only them.
+    """
+    months = delta.select("date").distinct()
+    return merge_counts(current.join(months, "date", "left_semi"), delta)
+
+
 # -- weights ----------------------------------------------------------------------------------
 
 

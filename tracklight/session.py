@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # A table bucketed by issue_idx then also serves joins on (issue_idx, progress_idx).
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # A page this deep is cut by a sort on the executors, not by a top-k merge on the driver.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Recording the Python line of every expression takes about half the time to build a plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
