@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -81,6 +82,7 @@ def compare(spark, con, sf_dir: str, name: str) -> str | None:
 def main() -> None:
     from tracklight.session import build
 
+    zone = os.environ.get("CHECK_TIME_ZONE", "UTC")
     spark = build(
         "oracle-check",
         "local[8]",
@@ -88,6 +90,7 @@ def main() -> None:
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
+        spark__sql__session__timeZone=zone,
     )
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir, names = sys.argv[1], sys.argv[2:]

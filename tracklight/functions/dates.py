@@ -34,6 +34,15 @@ def days_before(ts, days: int) -> Column:
     return ntz(ts) - F.make_dt_interval(F.lit(days))
 
 
+def wall_minutes(ts: Column) -> Column:
+    """Minutes since 1970 by the fields of the timestamp: no time zone or clock change comes in."""
+    return F.unix_date(ts.cast("date")).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+
+
+def wall_seconds(ts: Column) -> Column:
+    return wall_minutes(ts) * 60 + F.second(ts)
+
+
 def whole_days(end: Column, start: Column) -> Column:
     """Number of midnights between two moments; negative if `end` is earlier."""
     return F.datediff(end, start)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.dates import ntz
+from ..functions.dates import ntz, wall_minutes
 from ..plans.intervals import LEVEL, PIECE, with_interval_pieces, with_point_pieces
 from ..plans.scans import row_numbers
 from ..plans.sizes import broadcast_if_small
@@ -84,12 +84,6 @@ def mark_read(notifications: DataFrame, pairs: DataFrame) -> tuple[DataFrame, Da
     return after, updated
 
 
-def _minute(ts: Column) -> Column:
-    # From the fields of the timestamp, so no time zone and no clock change comes in.
-    days = F.unix_date(ts.cast("date")).cast("long")
-    return days * 1440 + F.hour(ts) * 60 + F.minute(ts)
-
-
 def _open_at(pushed: str) -> Column:
     sent = F.col(pushed)
     return (F.col("connected_at") <= sent) & (
@@ -105,17 +99,17 @@ def _pieces(pushes: DataFrame, connections: DataFrame) -> tuple[DataFrame, DataF
     """
     bounds = pushes.agg(
         F.struct(
-            F.coalesce(F.min(_minute(F.col("sent_at"))), F.lit(0)).alias("first"),
-            F.coalesce(F.max(_minute(F.col("sent_at"))), F.lit(0)).alias("last"),
+            F.coalesce(F.min(wall_minutes(F.col("sent_at"))), F.lit(0)).alias("first"),
+            F.coalesce(F.max(wall_minutes(F.col("sent_at"))), F.lit(0)).alias("last"),
         ).alias("bounds")
     ).scalar()
     first, last = F.col("_bounds.first"), F.col("_bounds.last")
     levels = F.ceil(F.log2((last - first + 1).cast("double"))).cast("int") + 1
     points = with_point_pieces(
-        pushes.withColumn("_bounds", bounds), _minute(F.col("sent_at")) - first, levels
+        pushes.withColumn("_bounds", bounds), wall_minutes(F.col("sent_at")) - first, levels
     )
-    start = F.greatest(_minute(F.col("connected_at")), first) - first
-    end = F.least(F.coalesce(_minute(F.col("closed_at")), last), last) + 1 - first
+    start = F.greatest(wall_minutes(F.col("connected_at")), first) - first
+    end = F.least(F.coalesce(wall_minutes(F.col("closed_at")), last), last) + 1 - first
     renamed = connections.select(
         F.col("id").alias("connection_id"),
         F.col("ip").alias("target_ip"),

@@ -273,8 +273,8 @@ def statistics(
     """The usage report of a month as one row: totals, savings per action, six-month trend.
 
     `private` covers the client `my_ip`, any other type all clients. The URL ranking of the
-    report has as many entries as there are URLs, so it is not packed into this row: it is
-    `top_urls(url_hits, date, ip)`.
+    report has as many entries as there are URLs, so it is not packed into this row: take
+    `top_urls(url_hits, date, ip)`, or `statistics_rows` for the whole report as rows.
     """
     ip = my_ip if report_type == "private" else None
     totals = usage_totals(visits, date, ip, my_ip)
@@ -287,3 +287,54 @@ def statistics(
         .select("myip", "visit_cnt", "active_cnt", "s.*")
         .withColumn("trend", trend_value)
     )
+
+
+def statistics_rows(
+    visits: DataFrame,
+    actions: DataFrame,
+    url_hits: DataFrame,
+    weights: DataFrame,
+    date: str,
+    my_ip: str,
+    report_type: str = "private",
+    compat: bool = False,
+) -> DataFrame:
+    """The whole usage report with its URL ranking as rows: section, seq, name, cnt, time, typing.
+
+    Sections are `totals` (visit_cnt and active_cnt), `action`, `trend` (oldest month first) and
+    `url`. Only the first three have a bounded number of rows; none is collected.
+    """
+    ip = my_ip if report_type == "private" else None
+    none = F.lit(None).cast("long")
+
+    def section(name, rows, seq, label, cnt=none, time=none, typing=none):
+        return rows.select(
+            F.lit(name).alias("section"),
+            seq.cast("long").alias("seq"),
+            label.alias("name"),
+            cnt.cast("long").alias("cnt"),
+            time.cast("long").alias("time"),
+            typing.cast("long").alias("typing"),
+        )
+
+    totals = usage_totals(visits, date, ip, my_ip).select(
+        F.posexplode(F.array("visit_cnt", "active_cnt")).alias("pos", "cnt")
+    )
+    total_name = F.when(F.col("pos") == 0, F.lit("visit_cnt")).otherwise(F.lit("active_cnt"))
+    trend = savings_trend(actions, weights, date, ip).select(
+        F.posexplode(F.arrays_zip("date", "time", "typing")).alias("pos", "m")
+    )
+    savings = savings_by_action(actions, weights, date, ip, compat)
+    place = F.array_position(F.array(*[F.lit(a) for a in SAVING_ACTIONS]), F.col("action"))
+    time, typing = F.col("time_cnt"), F.col("typing_cnt")
+    next_pos = F.col("pos") + 1
+    return (
+        section("totals", totals, next_pos, total_name, F.col("cnt"))
+        .unionByName(section("action", savings, place, F.col("action"), none, time, typing))
+        .unionByName(
+            section("trend", trend, next_pos, F.col("m.date"), none, F.col("m.time"), F.col("m.typing"))
+        )
+        .unionByName(
+            section("url", top_urls(url_hits, date, ip), F.col("seq"), F.col("url"), F.col("cnt"))
+        )
+    )

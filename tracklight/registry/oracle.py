@@ -606,6 +606,25 @@ def _statistics(where: str) -> str:
 ORACLE["statistics"] = _statistics("")
 ORACLE["statistics_private"] = _statistics(f"AND ip = '{CLIENT}'")
 
+_N = "NULL::BIGINT"
+_PLACE = "list_position(['auth', 'link', 'prop', 'otp', 'memo'], action)::BIGINT"
+_TREND = _BY_MONTH.format("", "").replace(LAST_MONTH, MONTH)
+ORACLE["statistics_rows"] = _sql(
+    "visits actions url_hits weights",
+    f"""SELECT 'totals' AS section, 1::BIGINT AS seq, 'visit_cnt' AS name, sum(cnt)::BIGINT AS cnt,
+      {_N} AS "time", {_N} AS typing FROM visits WHERE date = '{MONTH}'
+    UNION ALL SELECT 'totals', 2, 'active_cnt', count(*), NULL, NULL FROM visits
+      WHERE date = '{MONTH}'
+    UNION ALL SELECT 'action', {_PLACE}, action, NULL, sum(coalesce(cnt, 0) * "time")::BIGINT,
+      sum(coalesce(cnt, 0) * typing)::BIGINT
+      FROM weights LEFT JOIN (SELECT * FROM actions WHERE date = '{MONTH}') USING (action)
+      GROUP BY action
+    UNION ALL SELECT 'trend', row_number() OVER (ORDER BY date), {_MONTH_LABEL}, NULL, time_cnt,
+      typing_cnt FROM ({_TREND} ORDER BY date DESC LIMIT 6)
+    UNION ALL SELECT 'url', row_number() OVER (ORDER BY n DESC, md5(url), url), url, n, NULL, NULL
+      FROM (SELECT url, sum(cnt)::BIGINT AS n FROM url_hits WHERE date = '{MONTH}' GROUP BY url)""",
+)
+
 # -- notifications ----------------------------------------------------------------------------
 
 _INBOX = "id, type, title, message, action_url, is_read, created_at"

@@ -290,6 +290,19 @@ def statistics_private(spark, d):
     return _statistics(spark, d, "private")
 
 
+@register
+def statistics_rows(spark, d):
+    return usage.statistics_rows(
+        v.visits(spark, d),
+        v.actions(spark, d),
+        v.url_hits(spark, d),
+        v.weights(spark),
+        MONTH,
+        CLIENT,
+        "global",
+    )
+
+
 # -- notifications ----------------------------------------------------------------------------
 
 

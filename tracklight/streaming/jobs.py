@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..functions.dates import month_key
+from ..functions.dates import month_key, wall_seconds
 from ..operators.memos import expire_memos
-from ..operators.notifications import deliverable, undeliverable
+from ..operators.notifications import deliverable
 from ..operators.usage import LINK_ACTION
 
 CONNECT, CLOSE, PUSH = "connect", "close", "push"
@@ -41,6 +41,7 @@ SERVICE_EVENTS = T.StructType(
     ]
 )
 
+_DELIVERED = T.StructType(schemas.PUSHES.fields + [T.StructField("connection_id", T.LongType())])
 _FINISHED = T.StructField("finished", T.LongType())
 _OPEN = T.StructType(
     [f for f in schemas.CONNECTIONS if f.name != "closed_at"]
@@ -100,20 +101,26 @@ def stream_usage_counts(
 
     Windows of a month do not exist, so days are counted and `usage_counts` rolls them up.
     Days that the watermark has passed leave the state; events that come later than that are
-    for the batch counters to pick up. URLs of other actions than `link` are not kept.
+    for the batch counters to pick up. URLs of other actions than `link` are not kept. Days are
+    those of the timestamps as written, whatever the time zone of the session.
     """
     daily = (
-        events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withColumn("url", F.when(F.col("action") == LINK_ACTION, F.col("url")))
+        events.select(
+            F.timestamp_seconds(wall_seconds(F.col("ts"))).alias("ts"),
+            "ip",
+            "action",
+            F.when(F.col("action") == LINK_ACTION, F.col("url")).alias("url"),
+        )
         .withWatermark("ts", watermark)
         .groupBy(F.window("ts", "1 day"), *USAGE_KEYS)
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.to_date("window.start").alias("day"), *USAGE_KEYS, "cnt").write.mode(
-            "overwrite"
-        ).parquet(_batch_dir(path, "daily", batch_id))
+        day = F.date_from_unix_date((F.unix_seconds("window.start") / 86400).cast("int"))
+        batch.select(day.alias("day"), *USAGE_KEYS, "cnt").write.mode("overwrite").parquet(
+            _batch_dir(path, "daily", batch_id)
+        )
 
     return _start(daily, "update", path, keep, available_now)
 
@@ -207,25 +214,28 @@ def stream_delivery(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = _advance(batch, path, batch_id)
-        pushes = batch.filter(F.col("kind") == PUSH).select(
-            "push_id", F.col("ip").alias("target_ip"), F.col("ts").alias("sent_at")
-        )
-        for name, rows in (
-            ("delivered", deliverable(pushes, seen)),
-            ("failed", undeliverable(pushes, seen)),
-        ):
-            rows.write.mode("overwrite").parquet(_batch_dir(path, name, batch_id))
-        _commit(batch.sparkSession, path, batch_id)
+        spark = batch.sparkSession
+        batch.persist()
+        try:
+            seen = _advance(batch, path, batch_id)
+            pushes = batch.filter(F.col("kind") == PUSH).select(
+                "push_id", F.col("ip").alias("target_ip"), F.col("ts").alias("sent_at")
+            )
+            sent = _batch_dir(path, "delivered", batch_id)
+            deliverable(pushes, seen).write.mode("overwrite").parquet(sent)
+            reached = spark.read.schema(_DELIVERED).parquet(sent).select("push_id").distinct()
+            pushes.join(reached, "push_id", "left_anti").write.mode("overwrite").parquet(
+                _batch_dir(path, "failed", batch_id)
+            )
+            _commit(spark, path, batch_id)
+        finally:
+            batch.unpersist()
 
     return _start(events, "append", path, handle, available_now)
 
 
 def delivered(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType(
-        schemas.PUSHES.fields + [T.StructField("connection_id", T.LongType())]
-    )
-    return _read_or_empty(spark, f"{path}/delivered", schema)
+    return _read_or_empty(spark, f"{path}/delivered", _DELIVERED)
 
 
 def failed(spark: SparkSession, path: str) -> DataFrame:
