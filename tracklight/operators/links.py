@@ -89,7 +89,7 @@ def _judge_adds(links: DataFrame, changes: DataFrame) -> DataFrame:
             (F.col("seq") + 1).alias("since"),
             until.alias("until"),
         )
-    )
+    ).checkpoint()
     first_delete = changes.groupBy("url").agg(F.min(deleted).alias("_next"))
     stored = (
         links.select("url")
@@ -108,7 +108,7 @@ def _judge_adds(links: DataFrame, changes: DataFrame) -> DataFrame:
         stays.join(keys, "key", "left_semi").select("seq", "key", "since", "until"), F.col("since"), F.col("until"), F.lit(levels)
     ).select("seq", "key", LEVEL, PIECE)
     points = with_point_pieces(adds.select("seq", "key"), F.col("seq"), F.lit(levels))
-    stays, points = stays.checkpoint(), points.checkpoint()
+    stays = stays.checkpoint()
 
     where = ["key", LEVEL, PIECE]
     sure, seq = F.col("_sure"), F.col("seq")

@@ -76,53 +76,47 @@ def _text(*parts) -> Column:
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    day = F.col("o_orderdate")
-    priority = F.substring("o_orderpriority", 1, 1).cast("int") - 1
-    text = F.lit(None).cast("string")
-    moment = F.lit(None).cast("timestamp_ntz")
-    return table(spark, sf_dir, "orders").select(
-        key.alias("issue_idx"),
-        text.alias("issue_color"),
-        F.when(cust % 5 == 0, F.lit(""))
-        .when(cust % 7 != 0, _text("tag", cust % 12))
-        .alias("issue_tag"),
-        F.when(key % 29 == 0, F.lit("임시"))
-        .when(key % 37 != 0, _text(key + 100000))
-        .alias("issue_number"),
-        _text(F.col("o_orderpriority"), " order ", key).alias("issue_subject"),
-        F.col("o_orderstatus").alias("issue_status"),
-        _text("user", cust % 40).alias("issue_assigned_to"),
-        text.alias("memo"),
-        (key % 7 + 1).cast("int").alias("progress_idx"),
-        (cust % 4).cast("int").alias("product_idx"),
-        (cust % 6).cast("int").alias("category_idx"),
-        F.when(priority < 4, priority).alias("priority_idx"),
-        F.lit(None).cast("int").alias("delaycount"),
-        (key % 4 == 0).alias("is_updated"),
-        moment.alias("syncdate"),
-        day.alias("createdate"),
-        moment.alias("updatedate"),
-        F.when(key % 31 == 0, day + F.make_dt_interval(F.lit(30))).alias("deletedate"),
-        (day + _hours(key % 24)).alias("issue_created_on"),
+    priority = "int(substring(o_orderpriority, 1, 1)) - 1"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS issue_idx",
+        "CAST(NULL AS string) AS issue_color",
+        "CASE WHEN o_custkey % 5 = 0 THEN '' WHEN o_custkey % 7 <> 0 "
+        "THEN concat('tag', o_custkey % 12) END AS issue_tag",
+        "CASE WHEN o_orderkey % 29 = 0 THEN '임시' WHEN o_orderkey % 37 <> 0 "
+        "THEN string(o_orderkey + 100000) END AS issue_number",
+        "concat(o_orderpriority, ' order ', o_orderkey) AS issue_subject",
+        "o_orderstatus AS issue_status",
+        "concat('user', o_custkey % 40) AS issue_assigned_to",
+        "CAST(NULL AS string) AS memo",
+        "int(o_orderkey % 7 + 1) AS progress_idx",
+        "int(o_custkey % 4) AS product_idx",
+        "int(o_custkey % 6) AS category_idx",
+        f"CASE WHEN {priority} < 4 THEN {priority} END AS priority_idx",
+        "CAST(NULL AS int) AS delaycount",
+        "o_orderkey % 4 = 0 AS is_updated",
+        "CAST(NULL AS timestamp_ntz) AS syncdate",
+        "o_orderdate AS createdate",
+        "CAST(NULL AS timestamp_ntz) AS updatedate",
+        "CASE WHEN o_orderkey % 31 = 0 THEN o_orderdate + INTERVAL 30 DAY END AS deletedate",
+        "o_orderdate + make_dt_interval(0, int(o_orderkey % 24)) AS issue_created_on",
     )
 
 
 def workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Stage skeleton and order lines go through one aggregate instead of a join of the two.
-    skeleton = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("issue_idx"),
-        F.explode(F.sequence(F.lit(1), F.lit(7))).alias("progress_idx"),
-        F.lit(None).cast("timestamp_ntz").alias("sd"),
-        F.lit(None).cast("double").alias("qty"),
-        F.lit(True).alias("known"),
-    )
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("issue_idx"),
-        F.col("l_linenumber").alias("progress_idx"),
-        F.col("l_shipdate").alias("sd"),
-        F.col("l_quantity").alias("qty"),
-        F.lit(False).alias("known"),
+    skeleton = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS issue_idx",
+        "explode(sequence(1, 7)) AS progress_idx",
+        "CAST(NULL AS timestamp_ntz) AS sd",
+        "CAST(NULL AS double) AS qty",
+        "true AS known",
+    )
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS issue_idx",
+        "l_linenumber AS progress_idx",
+        "l_shipdate AS sd",
+        "l_quantity AS qty",
+        "false AS known",
     )
     staged = (
         skeleton.unionByName(lines)
@@ -130,21 +124,20 @@ def workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.min("sd").alias("sd"), F.min("qty").alias("qty"), F.max("known").alias("known"))
         .filter("known")
     )
-    sd, qty = F.col("sd"), F.col("qty")
-    status = (
-        F.when(sd.isNull(), 0)
-        .when(qty == 7, F.lit(None))
-        .when(qty < 12, 1)
-        .when(qty < 25, 2)
-        .otherwise(3)
-    )
-    done = (F.col("status_idx") == 3) & (F.col("issue_idx") % 11 != 0)
-    return staged.withColumn("status_idx", status.cast("int")).select(
+    return staged.selectExpr(
+        "issue_idx",
+        "progress_idx",
+        "CASE WHEN sd IS NULL THEN 0 WHEN qty = 7 THEN NULL WHEN qty < 12 THEN 1 "
+        "WHEN qty < 25 THEN 2 ELSE 3 END AS status_idx",
+        "sd",
+        "qty",
+    ).selectExpr(
         "issue_idx",
         "progress_idx",
         "status_idx",
-        F.when(F.coalesce(F.col("status_idx") != 1, F.lit(True)), sd).alias("startdate"),
-        F.when(done, sd + F.make_dt_interval(qty.cast("int"))).alias("completedate"),
+        "CASE WHEN status_idx = 1 THEN NULL ELSE sd END AS startdate",
+        "CASE WHEN status_idx = 3 AND issue_idx % 11 <> 0 THEN sd + make_dt_interval(int(qty)) END "
+        "AS completedate",
     )
 
 
@@ -250,23 +243,16 @@ def filter_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    kind = F.substring("o_orderpriority", 1, 1)
-    action = (
-        F.when(kind == "1", F.lit("auth"))
-        .when(kind == "2", F.lit("link"))
-        .when(kind == "3", F.lit("prop"))
-        .when(kind == "4", F.lit("otp"))
-        .otherwise(F.lit("memo"))
-    )
-    prefix = F.when(cust % 2 == 0, F.lit("::ffff:10.0.0.")).otherwise(F.lit("10.0.0."))
-    url = _text("https://h", cust % 9, ".example.com/p", key % 40)
-    return table(spark, sf_dir, "orders").select(
-        _text(prefix, cust % 200).alias("ip"),
-        action.alias("action"),
-        F.when(kind == "2", url).alias("url"),
-        (F.col("o_orderdate") + _hours(key % 24)).alias("ts"),
-        (key % 3 == 0).alias("is_visit"),
+    kind = "substring(o_orderpriority, 1, 1)"
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat(CASE WHEN o_custkey % 2 = 0 THEN '::ffff:10.0.0.' ELSE '10.0.0.' END, "
+        "o_custkey % 200) AS ip",
+        f"CASE {kind} WHEN '1' THEN 'auth' WHEN '2' THEN 'link' WHEN '3' THEN 'prop' "
+        "WHEN '4' THEN 'otp' ELSE 'memo' END AS action",
+        f"CASE WHEN {kind} = '2' THEN concat('https://h', o_custkey % 9, '.example.com/p', "
+        "o_orderkey % 40) END AS url",
+        "o_orderdate + make_dt_interval(0, int(o_orderkey % 24)) AS ts",
+        "o_orderkey % 3 = 0 AS is_visit",
     )
 
 
