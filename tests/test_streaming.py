@@ -54,11 +54,30 @@ def test_usage_counts_over_batches(spark, feed, tmp_path):
     assert rows(actions) == rows(usage.count_actions(events))
     urls = got.filter("action = 'link'").select("date", "ip", "url", "cnt")
     assert rows(urls) == rows(usage.count_url_hits(events))
+    jobs.compact_usage(spark, path)
+    assert rows(jobs.usage_counts(spark, path)) == rows(got)
     # A second run finds nothing new and changes nothing.
     run(jobs.stream_usage_counts(stream, path, available_now=True))
     assert rows(jobs.usage_counts(spark, path)) == rows(got)
 
 
+def test_counts_after_a_compaction(spark, feed, tmp_path):
+    event = lambda day, url: ("a", "link", url, dt(2024, 1, day, 5))
+    first, second = [event(1, "u"), event(1, "u"), event(2, "x")], [event(1, "u"), event(3, "y")]
+    stream, events = feed(schemas.USAGE_EVENTS, first)
+    path = str(tmp_path / "job")
+    run(jobs.stream_usage_counts(stream, path, "9 days", available_now=True))
+    jobs.compact_usage(spark, path)
+    more = spark.createDataFrame(second, schemas.USAGE_EVENTS)
+    more.coalesce(1).write.parquet(str(tmp_path / "feed" / "part=1"))
+    run(jobs.stream_usage_counts(stream, path, "9 days", available_now=True))
+    want = usage.count_url_hits(events.unionByName(more))
+    for _ in range(2):
+        got = jobs.usage_counts(spark, path).select("date", "ip", "url", "cnt")
+        assert rows(got) == rows(want)
+        jobs.compact_usage(spark, path)
+
+
 def test_delivery_over_batches_is_the_batch_result(spark, feed, tmp_path):
     random.seed(9)
     batches, opened, when, push = [], {}, dt(2024, 1, 1), 0

@@ -61,6 +61,10 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
         return spark.createDataFrame([], schema)
 
 
+def _with_column(schema: T.StructType, name: str) -> T.StructType:
+    return T.StructType(schema.fields + [T.StructField(name, T.LongType())])
+
+
 def _commit(spark: SparkSession, path: str, batch_id: int) -> None:
     """Mark a batch as finished, after all its tables are written."""
     done = spark.range(1).select(F.lit(batch_id).cast("long").alias("finished"))
@@ -121,23 +125,48 @@ def stream_usage_counts(
         batch.select(day.alias("day"), *USAGE_KEYS, "cnt").write.mode("overwrite").parquet(
             _batch_dir(path, "daily", batch_id)
         )
+        _commit(batch.sparkSession, path, batch_id)
 
     return _start(daily, "update", path, keep, available_now)
 
 
-def usage_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Monthly counts {date, ip, action, url, cnt} of a `stream_usage_counts` job.
+def _daily_counts(spark: SparkSession, path: str, last: int) -> DataFrame:
+    """The count of each day and key after batch `last`.
 
-    A day's count is rewritten by each batch that changes it, so the latest batch holds it.
+    A day's count is rewritten by each batch that changes it, so the latest one holds. Batches
+    before the last compaction are not read.
     """
-    written = _read_or_empty(
-        spark,
-        f"{path}/daily",
-        T.StructType(_DAILY.fields + [T.StructField("batch", T.LongType())]),
+    compacted = _read_or_empty(spark, f"{path}/compacted", _with_column(_DAILY, "upto"))
+    upto = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1)).alias("upto")).scalar()
+    written = _read_or_empty(spark, f"{path}/daily", _with_column(_DAILY, "batch"))
+    rows = compacted.filter(F.col("upto") == upto).withColumnRenamed("upto", "batch").unionByName(
+        written.filter((F.col("batch") > upto) & (F.col("batch") <= last))
     )
-    latest = written.groupBy("day", *USAGE_KEYS).agg(F.max_by("cnt", "batch").alias("cnt"))
+    return rows.groupBy("day", *USAGE_KEYS).agg(F.max_by("cnt", "batch").alias("cnt"))
+
+
+def _is_compacted(spark: SparkSession, path: str, last: int) -> bool:
+    done = _read_or_empty(spark, f"{path}/compacted", _with_column(_DAILY, "upto"))
+    return not done.filter(F.col("upto") == last).isEmpty()
+
+
+def compact_usage(spark: SparkSession, path: str) -> None:
+    """Fold the finished batches of a `stream_usage_counts` job into one table.
+
+    Run it now and then, while the job runs or not: it only adds a folder, so a failed run
+    changes nothing. Older `daily` and `compacted` folders may be removed afterwards.
+    """
+    last = last_batch(spark, path)
+    if last >= 0 and not _is_compacted(spark, path, last):
+        counts = _daily_counts(spark, path, last)
+        counts.write.mode("overwrite").parquet(f"{path}/compacted/upto={last}")
+
+
+def usage_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Monthly counts {date, ip, action, url, cnt} of the finished batches of a job."""
     return (
-        latest.withColumn("date", month_key(F.col("day")))
+        _daily_counts(spark, path, last_batch(spark, path))
+        .withColumn("date", month_key(F.col("day")))
         .groupBy("date", *USAGE_KEYS)
         .agg(F.sum("cnt").alias("cnt"))
     )
