@@ -65,14 +65,21 @@ def test_bucketed_tables_join_without_a_shuffle(spark, frame, tmp_path):
     flow = frame(schemas.WORKFLOW, [{"issue_idx": i, "progress_idx": 1} for i in range(50)])
     tables.write_bucketed(issues, "bucketed_issues", str(tmp_path / "i"), 4)
     tables.write_bucketed(flow, "bucketed_workflow", str(tmp_path / "w"), 4)
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        "spark.sql.requireAllClusterKeysForDistribution": "false",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         joined = stages.with_current_stage(spark.table("bucketed_issues"), spark.table("bucketed_workflow"))
         assert joined.count() == 50
         assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for key, value in before.items():
+            spark.conf.set(key, value)
         spark.sql("DROP TABLE bucketed_issues")
         spark.sql("DROP TABLE bucketed_workflow")
 

@@ -165,3 +165,43 @@ def test_running_values(spark, small_blocks):
     assert sorted(map(tuple, out.collect())) == sorted(want)
     numbered = scans.row_numbers(df.filter("x > 0"), "seq", "n").orderBy("seq").collect()
     assert [r.n for r in numbered] == list(range(1, len(numbered) + 1))
+
+
+def exchanges(df):
+    """The hash partitionings of the executed plan, without expression ids."""
+    import re
+
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    found = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    return [re.sub(r"#\d+L?", "", keys) for keys in found], plan
+
+
+def without_broadcasts(spark, run):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_of_a_hot_key_are_shuffled_by_bucket(spark, frame):
+    url_hits = frame(
+        schemas.URL_HITS, [{"date": "202401", "ip": "a", "url": f"u{n}", "cnt": 1} for n in range(50)]
+    )
+    keys, _ = without_broadcasts(spark, lambda: exchanges(usage.top_urls(url_hits)))
+    assert "date, cnt, _bucket" in keys
+    # By the month alone only the distinct counts are shuffled.
+    assert keys.count("date") == 1
+
+
+def test_rows_of_a_hot_key_are_shuffled_by_block(spark):
+    df = spark.createDataFrame([("hot", n) for n in range(50)], "k string, seq long")
+    out = scans.running(df, ["k"], "seq", {"n": ("sum", F.lit(1))})
+    keys, _ = without_broadcasts(spark, lambda: exchanges(out))
+    assert keys.count("k, _block") >= 2 and keys.count("k") == 1
+    # Also if the rows come partitioned by the key alone.
+    again = scans.running(df.repartition(4, "k"), ["k"], "seq", {"n": ("sum", F.lit(1))})
+    keys, _ = without_broadcasts(spark, lambda: exchanges(again))
+    assert keys.count("k, _block") >= 2
