@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import map_texts
+from tracklight.llm.common import checkpointed, map_texts, pieces
 from tracklight.session import shared_dir
 
 WINDOW = 20
@@ -29,6 +29,10 @@ GRAM = 6
 OFFSETS = WINDOW - GRAM + 1
 #: An anchor at more places than this is split further, by whole windows.
 TREE_SUFFIXES = 4096
+#: An anchor at more places of one task than this counts as one at more than TREE_SUFFIXES.
+LOCAL_PLACES = 64
+#: Anchors that a task holds before it passes them on.
+FLUSH_ANCHORS = 1_000_000
 #: Suffixes whose trees are held at a time.
 CHUNK_SUFFIXES = 1 << 15
 _HELD_WINDOWS = 100_000
@@ -55,20 +59,118 @@ def _joined(words: list[bytes]) -> str:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, sha256, hash, at): the words and the anchors of each text."""
+    """(doc_id, n_words, sha256) of the words of each text."""
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
-        out = {"n_words": [], "sha256": [], "hash": [], "at": []}
-        for t in texts:
-            words = (t or b"").split()
-            places, grams = _anchors(words)
-            places = np.unique(places)
-            row = len(words), _joined(words), grams[places].view(np.int64), places.astype(np.int32)
-            for name, value in zip(out, row):
-                out[name].append(value)
-        return out
+        words = [(t or b"").split() for t in texts]
+        return {"n_words": [len(w) for w in words], "sha256": [_joined(w) for w in words]}
+
+    return map_texts(docs, run, "n_words long, sha256 string")
+
+
+def _with_copies(described: DataFrame) -> DataFrame:
+    """Add is_copy: whether the same words are a document of a smaller id. NULL ids are none."""
+    first = checkpointed(described.groupBy("sha256").agg(F.min("doc_id").alias("first")))
+    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
+    return described.join(first, "sha256").withColumn("is_copy", copy).drop("first")
+
+
+# Which anchors repeat --------------------------------------------------------------------------
+#
+# A row holds the anchors of some documents that fall into one part of the range of hashes, packed
+# into bytes: hashes, steps of ids and places are three columns that compress well apart.
+
+
+def _pack(doc_id: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> bytes:
+    columns = hashes.astype(np.uint64), np.diff(doc_id, prepend=0), at.astype(np.int32)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
 
-    return map_texts(docs, run, "n_words long, sha256 string, hash array<long>, at array<int>")
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    n = len(data) // 20
+    ids = np.cumsum(np.frombuffer(data, np.int64, n, 8 * n))
+    return ids, np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.int32, n, 16 * n)
+
+
+def _anchor_parts(docs: DataFrame, parts: int) -> DataFrame:
+    """(part, known, packed): the anchors of all documents, by part.
+
+    An anchor at more than LOCAL_PLACES places of one task is known to repeat and to be hot: one entry
+    without a place tells the others so, and its places go along as known, spread by document.
+    """
+
+    def flushed(held: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids = np.repeat([d for d, _, _ in held], [len(at) for _, _, at in held]).astype(np.int64)
+        hashes = np.concatenate([h for _, h, _ in held])
+        at = np.concatenate([a for _, _, a in held])
+        kinds, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        hot = count[which] > LOCAL_PLACES
+        told = kinds[count > LOCAL_PLACES]
+        none = np.full(len(told), -1)
+        rows = []
+        for known, d, h, a in (
+            (False, np.concatenate([none, ids[~hot]]), np.concatenate([told, hashes[~hot]]), np.concatenate([none, at[~hot]])),
+            (True, ids[hot], hashes[hot], at[hot]),
+        ):
+            part = ((d.view(np.uint64) * _ODD if known else h) >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.diff(part[order])) + 1
+            for chosen in np.split(order, edges) if len(order) else []:
+                rows.append((int(part[chosen[0]]), known, _pack(d[chosen], h[chosen], a[chosen])))
+        columns = list(zip(*rows)) or [(), (), ()]
+        types = (pa.int32(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["part", "known", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for piece in pieces(batch):
+                texts = piece.column("text").cast(pa.binary()).to_pylist()
+                for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts):
+                    places, grams = _anchors((text or b"").split())
+                    if len(places):
+                        places = np.unique(places)
+                        held.append((doc_id, grams[places], places))
+                        size += len(places)
+                    if size > FLUSH_ANCHORS:
+                        yield from flushed(held)
+                        held, size = [], 0
+        if held:
+            yield from flushed(held)
+
+    return docs.mapInArrow(run, "part int, known boolean, packed binary")
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, hash, at, hot) of the anchors at several places, from rows sorted by part."""
+
+    def made(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(ids), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(hot)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "at", "hot"])
+
+    def judged(held: list[bytes]) -> pa.RecordBatch:
+        ids, hashes, at = map(np.concatenate, zip(*map(_unpack, held)))
+        _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        told = np.bincount(which[at < 0], minlength=len(count)) > 0
+        hot = told | (count > TREE_SUFFIXES)
+        keep = (at >= 0) & (hot | (count > 1))[which]
+        return made(ids[keep], hashes[keep], at[keep], hot[which][keep])
+
+    part, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["part"] != part and held:
+                yield judged(held)
+                held = []
+            part = row["part"]
+            if row["known"]:
+                ids, hashes, at = _unpack(row["packed"])
+                yield made(ids, hashes, at, np.ones(len(ids), bool))
+            else:
+                held.append(row["packed"])
+    if held:
+        yield judged(held)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -245,23 +347,29 @@ def dedup(docs: DataFrame) -> DataFrame:
     Removed are the words of every window whose word sequence also starts earlier: in a smaller
     doc_id, or in the same at an earlier word. `spans` lists the removed words as [start, end) pairs.
     Only doc_id and text of `docs` are read. NULL and empty texts have no words. Rows with one id
-    count as one document: neither of two windows at the same word of it is earlier. Rows with a NULL
-    id have no place in the order: they lose nothing and nothing is lost to them. No rows give no rows.
+    count as one document: neither of two windows at the same word of it is earlier, and where their
+    texts differ, a word that starts a first window in one of them does so in all. Rows with a NULL id
+    have no place in the order: they lose nothing and nothing is lost to them. No rows give no rows.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "suffix-dedup")
     rows = docs.select("doc_id", "text")
-    _described(rows).write.parquet(f"{folder}/described")
+    _described(rows).write.parquet(f"{folder}/words")
+    _with_copies(spark.read.parquet(f"{folder}/words")).write.parquet(f"{folder}/described")
     described = spark.read.parquet(f"{folder}/described")
 
-    known = described.where("doc_id IS NOT NULL")
-    anchors = known.select("doc_id", F.inline(F.arrays_zip("hash", "at")))
-    counts = anchors.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts.select("hash", (F.col("n") > TREE_SUFFIXES).alias("hot")).write.parquet(f"{folder}/repeated")
-    repeated = anchors.join(spark.read.parquet(f"{folder}/repeated"), "hash")
+    words = described.agg(F.sum("n_words")).first()[0] or 0
+    parts = min(max(256, words >> 20), 1 << 16)
+    placed = _anchor_parts(rows.where("doc_id IS NOT NULL"), parts).repartition("part")
+    repeated = placed.sortWithinPartitions("part").mapInArrow(
+        _repeated, "doc_id long, hash long, at int, hot boolean"
+    )
     repeated = repeated.groupBy("doc_id").agg(
         *[F.collect_list(c).alias(c) for c in ("at", "hash", "hot")]
     )
+    # A copy loses everything to the first of its kind, which stands for it in the trees.
+    copies = described.groupBy("doc_id").agg(F.min("is_copy").alias("all")).where("all").select("doc_id")
+    repeated = repeated.join(copies, "doc_id", "left_anti")
     _packed(rows).join(repeated, "doc_id").write.parquet(f"{folder}/candidates")
     candidates = spark.read.parquet(f"{folder}/candidates")
 
@@ -276,10 +384,15 @@ def dedup(docs: DataFrame) -> DataFrame:
         _removed, "doc_id long, sha256 string, n_removed long, kept_sha256 string, spans array<array<long>>"
     )
     removed = removed.dropDuplicates(["doc_id", "sha256"])
+    whole = F.col("is_copy") & (F.col("n_words") >= WINDOW)
+    n_removed = F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long")))
+    kept = F.when(whole, _joined([])).otherwise(F.coalesce("kept_sha256", "sha256"))
+    span = F.array(F.array(F.lit(0).cast("long"), F.col("n_words")))
+    none = F.array().cast("array<array<long>>")
     return described.join(removed, ["doc_id", "sha256"], "left").select(
         "doc_id",
         "n_words",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("kept_sha256", "sha256").alias("kept_sha256"),
-        F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"),
+        n_removed.alias("n_removed"),
+        kept.alias("kept_sha256"),
+        F.when(whole, span).otherwise(F.coalesce("spans", none)).alias("spans"),
     )
