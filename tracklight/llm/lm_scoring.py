@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tracklight.llm.common import map_texts, pieces
 
 #: Words of the shared vocabulary; all others are one unknown word. A model has at most the square of
-#: this many bigrams, so its table of losses takes 8 bytes times that (34 MB) in a task.
-VOCABULARY = 2_048
+#: this many bigrams, so its table of losses takes 8 bytes times that (8 MB) in a task.
+VOCABULARY = 1_024
 #: Different words that a task counts before it passes them on.
 _HELD_WORDS = 200_000
 
@@ -113,8 +113,9 @@ def score_documents(docs: DataFrame, is_target: DataFrame, size: int = VOCABULAR
     rows = docs.select("doc_id", "text")
     known = vocabulary(rows, size)
     targets = is_target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
-    marked = rows.join(targets, "doc_id", "left").select(F.coalesce("is_target", F.lit(False)).alias("is_target"), "text")
-    found = bigram_counts(marked, known, size).orderBy("cell").toPandas()  # at most size * size rows
+    # Always a merge join: the plan, and what it shuffles, shall not change with the size of the labels.
+    marked = rows.join(targets.hint("merge"), "doc_id", "left").select(F.coalesce("is_target", F.lit(False)).alias("is_target"), "text")
+    found = bigram_counts(marked, known, size).toPandas()  # at most size * size rows
     cells = found["cell"].to_numpy(dtype=np.int64)
     models = [
         log_probabilities(cells, found[c].to_numpy(dtype=float), size) for c in ("target", "background")

@@ -163,7 +163,7 @@ WITH low AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM low
 ), vocabulary AS (
   SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS v
-  FROM words GROUP BY word QUALIFY v <= 2047
+  FROM words GROUP BY word QUALIFY v <= 1023
 ), numbered AS (
   SELECT doc_id, i, coalesce(v, 0) AS v FROM words LEFT JOIN vocabulary USING (word)
 ), good AS (
@@ -177,8 +177,8 @@ WITH low AS (
 ), models AS (
   SELECT unnest(['b', 't']) AS model
 ), unigrams AS (
-  SELECT m.model, x.v, (coalesce(u.n, 0) + 1.0::DOUBLE) / (coalesce(t.n, 0) + 2048) AS p
-  FROM models m CROSS JOIN (SELECT unnest(range(0, 2048)) AS v) x
+  SELECT m.model, x.v, (coalesce(u.n, 0) + 1.0::DOUBLE) / (coalesce(t.n, 0) + 1024) AS p
+  FROM models m CROSS JOIN (SELECT unnest(range(0, 1024)) AS v) x
   LEFT JOIN (SELECT model, v, sum(n) AS n FROM counts GROUP BY model, v) u
     ON u.model = m.model AND u.v = x.v
   LEFT JOIN (SELECT model, sum(n) AS n FROM counts GROUP BY model) t ON t.model = m.model
