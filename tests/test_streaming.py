@@ -66,11 +66,11 @@ def test_counts_after_a_compaction(spark, feed, tmp_path):
     first, second = [event(1, "u"), event(1, "u"), event(2, "x")], [event(1, "u"), event(3, "y")]
     stream, events = feed(schemas.USAGE_EVENTS, first)
     path = str(tmp_path / "job")
-    run(jobs.stream_usage_counts(stream, path, "9 days", available_now=True))
+    run(jobs.stream_usage_counts(stream, path, available_now=True))
     jobs.compact_usage(spark, path)
     more = spark.createDataFrame(second, schemas.USAGE_EVENTS)
     more.coalesce(1).write.parquet(str(tmp_path / "feed" / "part=1"))
-    run(jobs.stream_usage_counts(stream, path, "9 days", available_now=True))
+    run(jobs.stream_usage_counts(stream, path, available_now=True))
     want = usage.count_url_hits(events.unionByName(more))
     for _ in range(2):
         got = jobs.usage_counts(spark, path).select("date", "ip", "url", "cnt")
@@ -152,3 +152,30 @@ def test_memo_expiry_over_batches(spark, feed, tmp_path):
 def test_given_events_as_feed(spark):
     events = v.table(spark, "/root/testdata/sf0.001", "events")
     assert v.usage_feed(events).count() == v.service_events(events).count() == 1000
+
+
+def test_late_events_count(spark, feed, tmp_path):
+    days = [10, 20, 11, 12]
+    stream, _ = feed(schemas.USAGE_EVENTS, *[[("a", "memo", None, dt(2024, 1, d, 5))] for d in days])
+    path = str(tmp_path / "job")
+    run(jobs.stream_usage_counts(stream, path, available_now=True))
+    assert [r.cnt for r in jobs.usage_counts(spark, path).collect()] == [4]
+
+
+def test_a_late_push_meets_a_closed_connection(spark, feed, tmp_path):
+    event = lambda **x: tuple(x.get(f) for f in jobs.SERVICE_EVENTS.names)
+    first = [
+        event(kind=jobs.CONNECT, ip="a", connection_id=1, ts=dt(2024, 1, 1, 1)),
+        event(kind=jobs.CLOSE, ip="a", connection_id=1, ts=dt(2024, 1, 1, 3)),
+    ]
+    second = [event(kind=jobs.PUSH, ip="a", push_id=7, ts=dt(2024, 1, 1, 2))]
+    stream, _ = feed(jobs.SERVICE_EVENTS, first, second)
+    path = str(tmp_path / "job")
+    run(jobs.stream_delivery(stream, path, available_now=True))
+    assert [r.push_id for r in jobs.delivered(spark, path).collect()] == [7]
+    assert jobs.failed(spark, path).isEmpty() and jobs.open_connections(spark, path).isEmpty()
+
+
+def test_a_missing_state_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        jobs._state(spark, str(tmp_path), "open", 3, jobs._KEPT)

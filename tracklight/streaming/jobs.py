@@ -46,6 +46,9 @@ _FINISHED = T.StructField("finished", T.LongType())
 _OPEN = T.StructType(
     [f for f in schemas.CONNECTIONS if f.name != "closed_at"]
 )
+_KEPT = T.StructType(_OPEN.fields + [schemas.CONNECTIONS["closed_at"]])
+#: A closed connection is kept for pushes that come so much later than newer events.
+LATENESS = "1 day"
 
 
 def _batch_dir(path: str, table: str, batch_id: int) -> str:
@@ -61,6 +64,14 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
         return spark.createDataFrame([], schema)
 
 
+def _state(spark: SparkSession, path: str, table: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """What batch `batch_id` - 1 left. Only the first batch starts from nothing."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    folder = _batch_dir(path, table, batch_id - 1)
+    return spark.read.schema(schema).parquet(folder).select(*schema.names)
+
+
 def _with_column(schema: T.StructType, name: str) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField(name, T.LongType())])
 
@@ -99,42 +110,35 @@ def _start(
 
 
 def stream_usage_counts(
-    events: DataFrame, path: str, watermark: str = "1 day", available_now: bool = False
+    events: DataFrame, path: str, available_now: bool = False
 ) -> StreamingQuery:
     """Keep daily counts per client, action and URL from a stream {ip, action, url, ts}.
 
-    Windows of a month do not exist, so days are counted and `usage_counts` rolls them up.
-    Days that the watermark has passed leave the state; events that come later than that are
-    for the batch counters to pick up. URLs of other actions than `link` are not kept. Days are
+    Windows of a month do not exist, so days are counted and `usage_counts` rolls them up. Each
+    batch writes the counts of its own events and readers add them up, so events count whenever
+    they come, and there is no state. URLs of other actions than `link` are not kept. Days are
     those of the timestamps as written, whatever the time zone of the session.
     """
-    daily = (
-        events.select(
-            F.timestamp_seconds(wall_seconds(F.col("ts"))).alias("ts"),
-            "ip",
-            "action",
-            F.when(F.col("action") == LINK_ACTION, F.col("url")).alias("url"),
-        )
-        .withWatermark("ts", watermark)
-        .groupBy(F.window("ts", "1 day"), *USAGE_KEYS)
-        .agg(F.count(F.lit(1)).alias("cnt"))
+    day = F.date_from_unix_date(F.floor(wall_seconds(F.col("ts")) / 86400).cast("int"))
+    days = events.select(
+        day.alias("day"),
+        "ip",
+        "action",
+        F.when(F.col("action") == LINK_ACTION, F.col("url")).alias("url"),
     )
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        day = F.date_from_unix_date((F.unix_seconds("window.start") / 86400).cast("int"))
-        batch.select(day.alias("day"), *USAGE_KEYS, "cnt").write.mode("overwrite").parquet(
-            _batch_dir(path, "daily", batch_id)
-        )
+        counts = batch.groupBy("day", *USAGE_KEYS).agg(F.count(F.lit(1)).alias("cnt"))
+        counts.write.mode("overwrite").parquet(_batch_dir(path, "daily", batch_id))
         _commit(batch.sparkSession, path, batch_id)
 
-    return _start(daily, "update", path, keep, available_now)
+    return _start(days, "append", path, keep, available_now)
 
 
 def _daily_counts(spark: SparkSession, path: str, last: int) -> DataFrame:
     """The count of each day and key after batch `last`.
 
-    A day's count is rewritten by each batch that changes it, so the latest one holds. Batches
-    before the last compaction are not read.
+    The counts of all batches add up. Batches before the last compaction are not read.
     """
     compacted = _read_or_empty(spark, f"{path}/compacted", _with_column(_DAILY, "upto"))
     upto = compacted.agg(F.coalesce(F.max("upto"), F.lit(-1)).alias("upto")).scalar()
@@ -142,7 +146,7 @@ def _daily_counts(spark: SparkSession, path: str, last: int) -> DataFrame:
     rows = compacted.filter(F.col("upto") == upto).withColumnRenamed("upto", "batch").unionByName(
         written.filter((F.col("batch") > upto) & (F.col("batch") <= last))
     )
-    return rows.groupBy("day", *USAGE_KEYS).agg(F.max_by("cnt", "batch").alias("cnt"))
+    return rows.groupBy("day", *USAGE_KEYS).agg(F.sum("cnt").alias("cnt"))
 
 
 def _is_compacted(spark: SparkSession, path: str, last: int) -> bool:
@@ -198,25 +202,25 @@ def connection_intervals(events: DataFrame) -> DataFrame:
     return made.join(ended, "id", "left")
 
 
-def _advance(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Connections seen by this batch; those still open are kept for the next one.
+def _advance(batch: DataFrame, path: str, batch_id: int, lateness: str = LATENESS) -> DataFrame:
+    """Connections seen by this batch, with those of the batches before that it has to know.
 
-    A batch starts from the open connections of the batch before, so its cost depends on those
-    and on its own events. Closed connections leave the state.
+    Open connections stay in the state, closed ones until `lateness` after their end by the newest
+    event of a batch, so that late pushes meet them. A missing state is an error.
     """
     spark = batch.sparkSession
-    before = _read_or_empty(spark, _batch_dir(path, "open", batch_id - 1), _OPEN)
-    earlier = before.select(
-        F.lit(CONNECT).alias("kind"),
-        "ip",
-        F.col("id").alias("connection_id"),
-        F.col("connected_at").alias("ts"),
-    )
-    seen = connection_intervals(
-        batch.select("kind", "ip", "connection_id", "ts").unionByName(earlier)
+    before = _state(spark, path, "open", batch_id, _KEPT)
+    own = [F.col("id").alias("connection_id"), "ip"]
+    made = before.select(F.lit(CONNECT).alias("kind"), *own, F.col("connected_at").alias("ts"))
+    ended = before.filter(F.col("closed_at").isNotNull()).select(
+        F.lit(CLOSE).alias("kind"), *own, F.col("closed_at").alias("ts")
     )
-    still_open = seen.filter(F.col("closed_at").isNull()).select("id", "ip", "connected_at")
-    still_open.write.mode("overwrite").parquet(_batch_dir(path, "open", batch_id))
+    events = batch.select("kind", "connection_id", "ip", "ts")
+    seen = connection_intervals(events.unionByName(made).unionByName(ended))
+    newest = batch.agg(F.max("ts").alias("ts")).scalar()
+    closed_long_ago = F.col("closed_at") < newest - F.expr(f"INTERVAL {lateness}")
+    kept = seen.filter(F.col("closed_at").isNull() | ~F.coalesce(closed_long_ago, F.lit(False)))
+    kept.select(*_KEPT.names).write.mode("overwrite").parquet(_batch_dir(path, "open", batch_id))
     return seen
 
 
@@ -273,7 +277,8 @@ def failed(spark: SparkSession, path: str) -> DataFrame:
 
 def open_connections(spark: SparkSession, path: str) -> DataFrame:
     """The connections left open after the last finished batch of a job."""
-    return _read_or_empty(spark, _batch_dir(path, "open", last_batch(spark, path)), _OPEN)
+    kept = _read_or_empty(spark, _batch_dir(path, "open", last_batch(spark, path)), _KEPT)
+    return kept.filter(F.col("closed_at").isNull()).select(*_OPEN.names)
 
 
 def connected_clients(spark: SparkSession, path: str) -> DataFrame:
@@ -296,7 +301,7 @@ def stream_memo_expiry(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _read_or_empty(spark, _batch_dir(path, "memos", batch_id - 1), schemas.MEMOS)
+        before = _state(spark, path, "memos", batch_id, schemas.MEMOS)
         left = expire_memos(before.unionByName(batch.select(*before.columns)), clock(batch_id))
         left.write.mode("overwrite").parquet(_batch_dir(path, "memos", batch_id))
         _commit(spark, path, batch_id)
