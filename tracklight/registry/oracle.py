@@ -403,10 +403,13 @@ ORACLE["nested_workflow"] = _sql(
 _RELEASED = "w.progress_idx = 7 AND w.status_idx = 3 AND w.completedate IS NOT NULL"
 ORACLE["qa_start"] = _sql(
     "issues workflow",
-    f"""SELECT w.issue_idx, w.startdate, w.completedate, (SELECT q.startdate FROM workflow q
-      WHERE q.issue_idx = w.issue_idx AND q.progress_idx = 6) AS qa_startdate
-    FROM issues i JOIN workflow w USING (issue_idx) WHERE {_RELEASED}""",
+    f"""SELECT w.issue_idx, w.startdate, w.completedate, q.startdate AS qa_startdate
+    FROM (SELECT w.* FROM issues i JOIN workflow w USING (issue_idx) WHERE {_RELEASED}) w
+    LEFT JOIN (SELECT issue_idx, startdate FROM workflow WHERE progress_idx = 6) q
+      ON q.issue_idx = w.issue_idx""",
 )
+for _name in ("issue_list_nested", "qa_start"):  # workflow is read twice, so it is made once
+    ORACLE[_name] = ORACLE[_name].replace("workflow AS (", "workflow AS MATERIALIZED (")
 ORACLE["issue_json_rows"] = _sql(
     "issues",
     """SELECT json_object('issue_idx', issue_idx, 'issue_number', issue_number, 'issue_subject',
