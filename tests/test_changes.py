@@ -234,6 +234,45 @@ def test_link_changes_against_replay(spark, frame, small_blocks, seed):
     assert run_links(spark, frame, stored, batch) == replay_links(stored, batch)
 
 
+def chain(n):
+    """Adds of one key, refused and accepted in turn: each answer depends on the one before."""
+    kinds = ("add", "add", "delete")
+    urls = [f"http://a/cm/{k}" for k in range(3)]
+    batch, present = [], None
+    for i in range(n):
+        kind = kinds[i % 3]
+        url = present if kind == "delete" else urls[(i // 3 + i) % 3]
+        if kind == "add" and present is None:
+            present = url
+        if kind == "delete":
+            present = None
+        batch.append(change(i, kind, url))
+    return batch
+
+
+def test_link_changes_of_one_key(spark, frame):
+    batch = chain(600)
+    assert run_links(spark, frame, [], batch) == replay_links([], batch)
+
+
+def test_rounds_of_link_changes_grow_with_the_logarithm(spark, frame, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    made, real = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a: made.append(1) or real(df, *a))
+    batch = chain(30_000)
+    after, refused = run_links(spark, frame, [], batch)
+    assert len(made) <= 2 * 15 + 10
+    assert len(after) == 0 and refused == [(i, "url duplicated") for i in range(1, 30_000, 3)]
+
+
+def test_changes_without_a_url(spark, frame):
+    batch = [change(0, "add", "http://a"), change(1, "add", "http://a/b"), change(2, "add", "http://a")]
+    want = replay_links([], batch)
+    after, refused = run_links(spark, frame, [], batch + [change(3, "edit", None)])
+    assert after == want[0] and refused[:2] == want[1]
+
+
 def test_links_without_changes(spark, frame):
     stored = [{"url": "http://b", "category": "old"}]
     assert run_links(spark, frame, stored, []) == replay_links(stored, [])

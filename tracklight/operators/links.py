@@ -58,79 +58,115 @@ def acceptable_links(candidates: DataFrame, links: DataFrame) -> DataFrame:
     return keyed.join(taken, "key", "left_anti").select(*candidates.columns)
 
 
+def _reached(succ: DataFrame, roots: DataFrame) -> DataFrame:
+    """`seq` of all that the chains {seq, succ} pass when they start at `roots`.
+
+    Pointer doubling: each round doubles the length of the jumps, so a chain of n links takes
+    about log2(n) rounds.
+    """
+    jumps = succ.checkpoint()
+    reached = roots.checkpoint()
+    while not jumps.isEmpty():
+        landed = reached.join(jumps, "seq").select(F.col("succ").alias("seq"))
+        reached = reached.unionByName(landed).distinct().checkpoint()
+        onward = jumps.select(F.col("seq").alias("succ"), F.col("succ").alias("_beyond"))
+        jumps = jumps.join(onward, "succ").select("seq", F.col("_beyond").alias("succ")).checkpoint()
+    return reached
+
+
 def _judge_adds(links: DataFrame, changes: DataFrame) -> DataFrame:
     """`seq` of the adds that are accepted when the changes are applied one by one.
 
     A URL is present from the change that adds it up to the next one that deletes it. An add is
-    refused if a present URL has its key. Which adds count as present depends on earlier
-    answers, so the answers are found in rounds: refuse what meets a URL known to be present,
-    accept what meets none that may be present, look at the rest again. Without deletes two
-    rounds suffice: if an add meets an earlier one that was refused, it also meets the URL that
-    caused the refusal. Each further round needs a delete and a new add of the same key, and
-    every round settles at least the first open add of each key.
+    refused if a present URL has its key, be it as prefix or as its own key. All URLs with the
+    same own key refuse each other, and a URL with another own key refuses an add only if that
+    other key extends the key of the add: markers are tried in a fixed order, so a URL that holds
+    a key has that key or one found by an earlier marker, which lies further on. So keys are
+    settled from the longest to the shortest of each line of nested keys, one round for each
+    depth. Within a key the adds that no other key refuses form a chain: the first is accepted,
+    then the first one after its delete, and so on; `_reached` follows all chains at once.
+
+    The rounds are bounded by the nesting of keys within one URL and the logarithm of the
+    changes of one key, whatever the number of changes. Changes without a URL do nothing.
     """
     spark = links.sparkSession
     ensure_checkpoint_dir(spark)
     last = changes.agg(F.max("seq")).first()[0] or 0
-    levels = (last + 2).bit_length()
+    levels = (last + 1).bit_length()
     never = F.lit(1 << levels).cast("long")
+    seq = F.col("seq")
 
     # The delete that ends each stay: the next one after it, found by scanning backwards.
-    deleted = F.when(F.col("kind") == DELETE, F.col("seq"))
-    backwards = changes.select("seq", "kind", "url", (F.lit(last) - F.col("seq")).alias("_back"))
+    deleted = F.when(F.col("kind") == DELETE, seq)
+    known = changes.filter(F.col("url").isNotNull())
+    moves = known.filter(F.col("kind").isin(ADD, DELETE)).select("seq", "kind", "url")
+    moves = moves.withColumns({"own": link_key(F.col("url")), "_back": F.lit(last) - seq})
     until = F.coalesce(F.col("_next") + 1, never)
-    adds = (
-        running(backwards, ["url"], "_back", {"_next": ("min", deleted)})
-        .filter(F.col("kind") == ADD)
-        .select(
-            "seq",
-            "url",
-            link_key(F.col("url")).alias("key"),
-            (F.col("seq") + 1).alias("since"),
-            until.alias("until"),
-        )
-    ).checkpoint()
-    first_delete = changes.groupBy("url").agg(F.min(deleted).alias("_next"))
+    moves = running(moves, ["url"], "_back", {"_next": ("min", deleted)})
+    moves = moves.withColumn("until", until).drop("_next").checkpoint()
+    adds = moves.filter(F.col("kind") == ADD)
+
+    # The depth of a key: how many keys in use it extends.
+    keys = adds.select(F.col("own").alias("key")).distinct()
+    nested = _with_cuts(keys.select(F.col("key").alias("url")), keys)
+    nested = nested.filter(F.col("key") != F.col("url"))
+    depths = nested.join(keys, "key", "left_semi").groupBy(F.col("url").alias("own")).agg(
+        F.count(F.lit(1)).alias("depth")
+    )
+    depth = F.coalesce("depth", F.lit(0)).alias("depth")
+    moves = moves.join(depths, "own", "left").select(*moves.columns, depth).checkpoint()
+    adds = moves.filter(F.col("kind") == ADD)
+
+    # The stays of URLs that were stored, and of those to be added, by each other key they hold.
+    first_delete = known.groupBy("url").agg(F.min(deleted).alias("_next"))
     stored = (
         links.select("url")
         .distinct()
         .join(first_delete, "url", "left")
         .select(
             F.lit(-1).cast("long").alias("seq"),
+            F.lit(None).cast("string").alias("own"),
             "url",
             F.lit(0).cast("long").alias("since"),
             until.alias("until"),
         )
     )
-    keys = adds.select("key").distinct()
-    stays = _with_cuts(stored.unionByName(adds.select("seq", "url", "since", "until")), keys)
+    added = adds.select("seq", "own", "url", (seq + 1).alias("since"), "until")
+    stays = _with_cuts(stored.unionByName(added), keys).filter(~F.col("own").eqNullSafe(F.col("key")))
     stays = with_interval_pieces(
-        stays.join(keys, "key", "left_semi").select("seq", "key", "since", "until"), F.col("since"), F.col("until"), F.lit(levels)
-    ).select("seq", "key", LEVEL, PIECE)
-    points = with_point_pieces(adds.select("seq", "key"), F.col("seq"), F.lit(levels))
-    stays = stays.checkpoint()
-
-    where = ["key", LEVEL, PIECE]
-    sure, seq = F.col("_sure"), F.col("seq")
-    marked, open_points = stays.withColumn("_sure", seq < 0), points
-    settled = spark.createDataFrame([], "seq long, _sure boolean")
-    while True:
-        # Of the URLs an add meets: True if one is surely present, False if one may be, else NULL.
-        spots = marked.groupBy(*where).agg(F.max("_sure").alias("_sure"))
-        met = open_points.join(spots, where, "left").groupBy("seq").agg(F.max("_sure").alias("_sure"))
-        met = met.checkpoint()
-        settled = settled.unionByName(met.filter(sure.isNull() | sure))
-        waiting = met.filter(~sure).select("seq")
-        if waiting.isEmpty():
-            return settled.filter(sure.isNull()).select("seq")
-        open_points = open_points.join(waiting, "seq", "left_semi")
-        answers = settled.select("seq", sure.isNull().alias("_accepted"))
-        accepted = F.col("_accepted")
-        marked = (
-            stays.join(answers, "seq", "left")
-            .filter(accepted.isNull() | accepted)
-            .withColumn("_sure", (seq < 0) | F.coalesce(accepted, F.lit(False)))
+        stays.join(keys, "key", "left_semi").select("seq", "key", "since", "until"),
+        F.col("since"),
+        F.col("until"),
+        F.lit(levels),
+    )
+    stays = stays.select("seq", "key", LEVEL, PIECE).checkpoint()
+
+    accepted = spark.createDataFrame([], "seq long")
+    for d in range(adds.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0], -1, -1):
+        present = stays.join(accepted.unionByName(spark.range(-1, 0).toDF("seq")), "seq", "left_semi")
+        asked = adds.filter(F.col("depth") == d)
+        facing = asked.select("seq", F.col("own").alias("key")).join(
+            present.select("key").distinct(), "key", "left_semi"
+        )
+        met = with_point_pieces(facing, seq, F.lit(levels)).join(
+            present.select("key", LEVEL, PIECE).distinct(), ["key", LEVEL, PIECE], "left_semi"
+        )
+        free = asked.join(met.select("seq").distinct(), "seq", "left_anti").checkpoint()
+
+        # The first free add of the key after each delete; a stay ends just after its delete.
+        ends = moves.filter((F.col("depth") == d) & (F.col("kind") == DELETE))
+        ends = ends.join(free.select("own").distinct(), "own", "left_semi")
+        line = free.select("seq", "kind", "own", "_back").unionByName(
+            ends.select("seq", "kind", "own", "_back")
         )
+        free_add = F.when(F.col("kind") == ADD, seq)
+        turns = running(line, ["own"], "_back", {"succ": ("min", free_add)})
+        turns = turns.filter((F.col("kind") == DELETE) & F.col("succ").isNotNull())
+        turns = turns.select((seq + 1).alias("until"), "succ")
+        succ = free.join(turns, "until").select("seq", "succ")
+        roots = free.groupBy("own").agg(F.min("seq").alias("seq")).select("seq")
+        accepted = accepted.unionByName(_reached(succ, roots)).checkpoint()
+    return accepted
 
 
 def apply_link_changes(links: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
