@@ -127,6 +127,15 @@ def test_categories_and_filters(spark, frame):
     assert changes.delete_filter(saved, saved.union(saved)).count() == 0
 
 
+def test_row_numbers_over_groups_of_blocks(spark, small_blocks):
+    from tracklight.plans.scans import row_numbers
+
+    positions = [k * k for k in range(200)]  # with gaps
+    df = spark.createDataFrame([(p,) for p in positions], "seq long")
+    numbered = row_numbers(df, "seq", "n").orderBy("seq").collect()
+    assert [tuple(r) for r in numbered] == [(p, k + 1) for k, p in enumerate(positions)]
+
+
 # -- links ------------------------------------------------------------------------------------
 
 LINK_CHANGES = "seq long, kind string, url string, category string, description string, linkimage string"

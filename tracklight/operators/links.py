@@ -148,7 +148,7 @@ def _judge_adds(links: DataFrame, changes: DataFrame) -> DataFrame:
         facing = asked.select("seq", F.col("own").alias("key")).join(
             present.select("key").distinct(), "key", "left_semi"
         )
-        met = with_point_pieces(facing, seq, F.lit(levels)).join(
+        met = with_point_pieces(facing, seq, F.sequence(F.lit(0), F.lit(levels))).join(
             present.select("key", LEVEL, PIECE).distinct(), ["key", LEVEL, PIECE], "left_semi"
         )
         free = asked.join(met.select("seq").distinct(), "seq", "left_anti").checkpoint()

@@ -95,19 +95,18 @@ def _pieces(pushes: DataFrame, connections: DataFrame) -> tuple[DataFrame, DataF
     """Pushes and connections by client and piece of time, in minutes from the first push.
 
     Only the time from the first to the last push counts, so a short batch has few pieces and an
-    open end costs no more than any other.
+    open end costs no more than any other. Pushes of clients that never connect have no pieces, the
+    others one for each level of pieces that connections use.
     """
+    minute = wall_minutes(F.col("sent_at"))
     bounds = pushes.agg(
         F.struct(
-            F.coalesce(F.min(wall_minutes(F.col("sent_at"))), F.lit(0)).alias("first"),
-            F.coalesce(F.max(wall_minutes(F.col("sent_at"))), F.lit(0)).alias("last"),
+            F.coalesce(F.min(minute), F.lit(0)).alias("first"),
+            F.coalesce(F.max(minute), F.lit(0)).alias("last"),
         ).alias("bounds")
     ).scalar()
     first, last = F.col("_bounds.first"), F.col("_bounds.last")
-    levels = F.ceil(F.log2((last - first + 1).cast("double"))).cast("int") + 1
-    points = with_point_pieces(
-        pushes.withColumn("_bounds", bounds), wall_minutes(F.col("sent_at")) - first, levels
-    )
+    levels = F.ceil(F.log2((last - first + 1).cast("double"))).cast("int")
     start = F.greatest(wall_minutes(F.col("connected_at")), first) - first
     end = F.least(F.coalesce(wall_minutes(F.col("closed_at")), last), last) + 1 - first
     renamed = connections.select(
@@ -116,7 +115,14 @@ def _pieces(pushes: DataFrame, connections: DataFrame) -> tuple[DataFrame, DataF
         "connected_at",
         "closed_at",
     ).withColumn("_bounds", bounds)
-    return points.drop("_bounds"), with_interval_pieces(renamed, start, end, levels).drop("_bounds")
+    stays = with_interval_pieces(renamed, start, end, levels).drop("_bounds")
+    clients = connections.select(F.col("ip").alias("target_ip")).distinct()
+    reachable = pushes.join(clients, "target_ip", "left_semi").select(*pushes.columns)
+    used = stays.agg(F.sort_array(F.collect_set(LEVEL)).alias("used")).scalar()
+    points = with_point_pieces(
+        reachable.withColumn("_bounds", bounds).withColumn("_used", used), minute - first, F.col("_used")
+    )
+    return points.drop("_bounds", "_used"), stays
 
 
 def deliverable(pushes: DataFrame, connections: DataFrame) -> DataFrame:

@@ -19,8 +19,11 @@ def _right(value: Column, bits: Column) -> Column:
 
 
 def with_point_pieces(df: DataFrame, point: Column, levels: Column) -> DataFrame:
-    """One row per level 0..levels with the piece that holds the point (0 <= point < 2^levels)."""
-    return df.select("*", F.explode(F.sequence(F.lit(0), levels)).alias(LEVEL)).withColumn(
+    """One row per level of the array `levels` with the piece that holds the point (>= 0).
+
+    The levels that intervals use are enough, all from 0 to that of the whole range always are.
+    """
+    return df.select("*", F.explode(levels).alias(LEVEL)).withColumn(
         PIECE, _right(point, F.col(LEVEL))
     )
 

@@ -5,8 +5,8 @@ without a partition sorts everything in one. Here the ordered positions are cut
 65,536: each block is summarised by a partial aggregate, the running value over the (few) blocks
 of a key gives the start of each block, and the rows are then scanned block by block.
 
-`seq` is a dense, non-negative, unique batch position, so a key with n rows has about n / 65,536
-blocks.
+`seq` is a non-negative, unique batch position. Gaps do no harm: an id made by
+`monotonically_increasing_id` has two blocks more for each input partition.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 16
-BLOCK = "_block"
+BLOCK, GROUP = "_block", "_group"
 RANK_BUCKET_DIGITS = 3  # hex digits of the tie-breaking hash: 4,096 buckets
 
 _AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -32,6 +32,43 @@ def _combine(how: str, first: Column, second: Column) -> Column:
     return F.least(first, second) if how == "min" else F.greatest(first, second)
 
 
+def _totals(df: DataFrame, by: list[str], hows: dict[str, str], old: str, new: str) -> DataFrame:
+    """The total `{new}{name}` of the values `{old}{name}` of each of `by`."""
+    return df.groupBy(*by).agg(
+        *[_AGGREGATES[how](f"{old}{name}").alias(f"{new}{name}") for name, how in hows.items()]
+    )
+
+
+def _earlier(hows: dict[str, str], value: str, keys: list[str], order: str) -> dict[str, Column]:
+    """The running values of `{value}{name}` over the earlier rows of the keys."""
+    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return {name: _AGGREGATES[how](f"{value}{name}").over(window) for name, how in hows.items()}
+
+
+def _block_starts(staged: DataFrame, keys: list[str], hows: dict[str, str]) -> DataFrame:
+    """The running value `_s_{name}` before each block, from the values `_v_{name}` of its rows.
+
+    The blocks of a key are scanned by one task. Without keys that would be all blocks, so these
+    are put together to groups of 65,536 in their turn: one task scans the blocks of one group, or
+    all groups, of which there is one for each 2^32 positions.
+    """
+    blocks = _totals(staged, [*keys, BLOCK], hows, "_v_", "_t_")
+    if keys:
+        starts = _earlier(hows, "_t_", keys, BLOCK)
+    else:
+        blocks = blocks.withColumn(GROUP, F.shiftright(F.col(BLOCK), BLOCK_BITS))
+        groups = _totals(blocks, [GROUP], hows, "_t_", "_u_")
+        before = _earlier(hows, "_u_", [], GROUP)
+        blocks = blocks.join(
+            groups.select(GROUP, *[start.alias(f"_g_{name}") for name, start in before.items()]), GROUP
+        )
+        starts = {
+            name: _combine(hows[name], F.col(f"_g_{name}"), start)
+            for name, start in _earlier(hows, "_t_", [GROUP], BLOCK).items()
+        }
+    return blocks.select(*keys, BLOCK, *[start.alias(f"_s_{name}") for name, start in starts.items()])
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -46,20 +83,8 @@ def running(
     """
     staged = df if BLOCK in df.columns else with_blocks(df, seq)
     staged = staged.withColumns({f"_v_{name}": value for name, (_, value) in values.items()})
-    starts = staged.groupBy(*keys, BLOCK).agg(
-        *[_AGGREGATES[how](f"_v_{name}").alias(f"_t_{name}") for name, (how, _) in values.items()]
-    )
-    over_blocks = (
-        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = starts.select(
-        *keys,
-        BLOCK,
-        *[
-            _AGGREGATES[how](f"_t_{name}").over(over_blocks).alias(f"_s_{name}")
-            for name, (how, _) in values.items()
-        ],
-    )
+    hows = {name: how for name, (how, _) in values.items()}
+    starts = _block_starts(staged, keys, hows)
     inside = (
         Window.partitionBy(*keys, BLOCK)
         .orderBy(seq)
