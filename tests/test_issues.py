@@ -179,6 +179,11 @@ def test_page_is_a_top_k(listed):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_nested_page_is_cut_once(listed):
+    plan = listing.issue_list(*listed, page=2, size=2)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 1
+
+
 # -- reports ----------------------------------------------------------------------------------
 
 

@@ -109,18 +109,21 @@ def issue_list(
 ) -> DataFrame:
     """The issue list with the nested workflow of each issue.
 
-    A page is cut first, so only the workflow rows of its issues are grouped: its keys are
-    broadcast to the workflow scan if the page is small, and joined by shuffle otherwise.
+    A page is cut first, and once: its rows, broadcast to the workflow scan if the page is small and
+    joined by shuffle otherwise, carry their columns along, and their stages are grouped after the
+    join. A page far behind the first still counts through all rows before it, in one task; `after`
+    does not.
     """
     rows = listed_issues(issues, workflow, wanted, order, field, page, size, after)
+    # Every listed issue has at least the row of its current stage, so none is lost.
     if not size:
-        # Every listed issue has at least the row of its current stage, so none is lost.
         nested = rows.join(nest_workflow(workflow), "issue_idx")
     else:
-        keys = rows.select("issue_idx")
+        cut = rows.select("issue_idx", F.struct(*ISSUE_COLUMNS).alias("_row"))
         if size <= BROADCAST_PAGE_ROWS:
-            keys = F.broadcast(keys)
-        nested = rows.join(nest_workflow(workflow.join(keys, "issue_idx", "left_semi")), "issue_idx")
+            cut = F.broadcast(cut)
+        nested = nest_workflow(workflow.join(cut, "issue_idx"), F.first("_row").alias("_row"))
+        nested = nested.select("_row.*", "workflow")
     ordering = list_order(order, field)
     nested = nested.select(*ISSUE_COLUMNS, "workflow")
     return nested.orderBy(*ordering) if ordering else nested

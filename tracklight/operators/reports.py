@@ -80,10 +80,10 @@ def stage_counts(
     """One row: number of listed issues, in all and per current stage; NULLs if there are none."""
     listed = filter_issues(with_current_stage(issues, workflow), wanted)
     per_stage = [
-        F.sum(F.when(F.col("progress_idx") == stage, 1).otherwise(0)).cast("int").alias(str(stage))
+        F.sum(F.when(F.col("progress_idx") == stage, 1).otherwise(0)).alias(str(stage))
         for stage in STAGES
     ]
-    return listed.agg(F.sum(F.lit(1)).cast("int").alias("totalcount"), *per_stage)
+    return listed.agg(F.sum(F.lit(1)).alias("totalcount"), *per_stage)
 
 
 def _check_trend(date_type: str, summary_type: str, start, end) -> str:

@@ -7,7 +7,7 @@ joins shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DONE = 3
@@ -50,14 +50,19 @@ def with_qa_start(df: DataFrame, workflow: DataFrame) -> DataFrame:
     return df.join(qa, "issue_idx", "left")
 
 
-def nest_workflow(workflow: DataFrame) -> DataFrame:
-    """Per issue the array of its stages in stage order (at most seven, by the key)."""
+def nest_workflow(workflow: DataFrame, *others: Column) -> DataFrame:
+    """Per issue the array of its stages in stage order (at most seven, by the key).
+
+    `others` are more aggregates of an issue's rows.
+    """
     stage = F.struct(
         "progress_idx", *[field for field in STAGE_FIELDS if field != "progress_idx"]
     )
     ordered = F.array_sort(F.collect_list(stage))
     fields = lambda s: F.struct(*[s[field].alias(field) for field in STAGE_FIELDS])
-    return workflow.groupBy("issue_idx").agg(F.transform(ordered, fields).alias("workflow"))
+    return workflow.groupBy("issue_idx").agg(
+        F.transform(ordered, fields).alias("workflow"), *others
+    )
 
 
 def with_workflow(issues: DataFrame, workflow: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           o_orderstatus AS issue_status, 'user' || (o_custkey % 40) AS issue_assigned_to,
           NULL::VARCHAR AS memo,
           (1 + o_orderkey % 7)::INT AS progress_idx, (o_custkey % 4)::INT AS product_idx,
-          (o_custkey % 6)::INT AS category_idx,
+          o_custkey % 6 AS category_idx,
           CASE WHEN o_orderpriority[1] < '5' THEN o_orderpriority[1]::INT - 1 END AS priority_idx,
           NULL::INT AS delaycount, o_orderkey % 4 = 0 AS is_updated,
           NULL::TIMESTAMP AS syncdate, o_orderdate AS createdate, NULL::TIMESTAMP AS updatedate,
@@ -343,14 +343,14 @@ ORACLE["report_summary_custom"] = _summary(
 )
 
 _PER_STAGE = ", ".join(
-    f'sum(CASE WHEN progress_idx = {k} THEN n ELSE 0 END)::INT AS "{k}"' for k in range(1, 8)
+    f'sum(CASE WHEN progress_idx = {k} THEN n ELSE 0 END)::BIGINT AS "{k}"' for k in range(1, 8)
 )
 
 
 def _stage_counts(where: str) -> str:
     return _sql(
         "staged",
-        f"""SELECT sum(n)::INT AS totalcount, {_PER_STAGE} FROM (
+        f"""SELECT sum(n)::BIGINT AS totalcount, {_PER_STAGE} FROM (
           SELECT progress_idx, count(*) AS n FROM staged
           WHERE deletedate IS NULL AND {where} GROUP BY progress_idx)""",
     )
@@ -395,6 +395,29 @@ ORACLE["issue_list_nested"] = _sql(
           ORDER BY createdate DESC NULLS FIRST, issue_idx LIMIT 100 OFFSET 100) p
     JOIN workflow w USING (issue_idx)""",
 )
+ORACLE["issue_list_ascending"] = _sql(
+    "staged",
+    """SELECT row_number() OVER (ORDER BY issue_created_on NULLS LAST, issue_idx) - 1 AS position,
+      issue_idx, issue_created_on
+    FROM (SELECT issue_idx, issue_created_on FROM staged WHERE deletedate IS NULL
+          ORDER BY issue_created_on NULLS LAST, issue_idx LIMIT 500 OFFSET 1000)""",
+)
+ORACLE["issue_list_after"] = _sql(
+    "staged",
+    """SELECT row_number() OVER (ORDER BY createdate DESC, issue_idx) - 1 AS position, issue_idx,
+      createdate
+    FROM (SELECT issue_idx, createdate FROM staged
+          WHERE deletedate IS NULL AND createdate <= TIMESTAMP '1998-06-01 00:00:00'
+          ORDER BY createdate DESC, issue_idx LIMIT 1000)""",
+)
+ORACLE["issue_list_all"] = _sql(
+    "staged workflow",
+    """SELECT issue_idx, s.issue_subject, (row_number() OVER (PARTITION BY issue_idx
+      ORDER BY w.progress_idx) - 1)::INT AS pos, w.progress_idx, w.status_idx, w.startdate,
+      w.completedate
+    FROM workflow w JOIN (SELECT issue_idx, issue_subject FROM staged WHERE deletedate IS NULL) s
+      USING (issue_idx)""",
+)
 ORACLE["nested_workflow"] = _sql(
     "workflow",
     """SELECT issue_idx, (row_number() OVER (PARTITION BY issue_idx ORDER BY progress_idx) - 1)::INT
@@ -769,20 +792,20 @@ ORACLE["soft_delete"] = _sql(
       WHERE l_returnflag = 'R') THEN {_NOW} ELSE deletedate END AS deletedate FROM issues""",
 )
 ORACLE["next_id"] = "SELECT max(o_orderkey) + 1 AS next_id FROM orders"
-_CATEGORIES = "SELECT s_suppkey::INT AS category_idx, s_name AS category_name FROM supplier"
+_CATEGORIES = "SELECT s_suppkey AS category_idx, s_name AS category_name FROM supplier"
 ORACLE["add_category"] = f"""{_CATEGORIES} UNION ALL
-SELECT ((SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY p_partkey))::INT, p_name
+SELECT ((SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY p_partkey)), p_name
 FROM part"""
 ORACLE["rename_category"] = f"""SELECT category_idx, coalesce(new, category_name) AS category_name
 FROM ({_CATEGORIES}) LEFT JOIN (SELECT p_partkey // 10 AS k, max_by(p_brand, p_partkey) AS new
   FROM part GROUP BY 1) ON k = category_idx"""
 ORACLE["category_list"] = "SELECT s_name AS category_name FROM supplier"
-_SAVED = """SELECT p_partkey::INT AS filter_idx, p_name AS filter_name,
+_SAVED = """SELECT p_partkey AS filter_idx, p_name AS filter_name,
   '{"priority_idx":[' || (p_size % 4) || ']}' AS filter_content,
   CASE WHEN p_partkey = 3 THEN '1' ELSE '0' END AS isdefaultfilter FROM part"""
 ORACLE["saved_filter_list"] = _SAVED
 ORACLE["add_filter"] = f"""{_SAVED} UNION ALL
-SELECT ((SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY s_suppkey))::INT, s_name,
+SELECT ((SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY s_suppkey)), s_name,
   '{{"text":"' || s_name || '"}}', '0' FROM supplier"""
 ORACLE["delete_filter"] = f"""SELECT * FROM ({_SAVED}) WHERE filter_idx NOT IN (
   SELECT c_custkey * 3 FROM customer UNION SELECT s_suppkey * 3 FROM supplier)"""

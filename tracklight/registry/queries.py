@@ -114,6 +114,36 @@ def issue_list_nested(spark, d):
     )
 
 
+def _numbered(page):
+    """An ordered page, which is one partition, with the position of each row."""
+    return page.select(F.monotonically_increasing_id().alias("position"), *page.columns)
+
+
+@register
+def issue_list_ascending(spark, d):
+    """A page by rising creation date, with positions."""
+    staged = v.issues(spark, d), v.workflow(spark, d)
+    page = listing.listed_issues(*staged, None, "ascend", "issue_created_on", page=3, size=500)
+    return _numbered(page).select("position", "issue_idx", "issue_created_on")
+
+
+@register
+def issue_list_after(spark, d):
+    """The issues that follow a given one in the default order, with positions."""
+    staged = v.issues(spark, d), v.workflow(spark, d)
+    page = listing.listed_issues(*staged, size=1000, after=v.LAST_SEEN)
+    return _numbered(page).select("position", "issue_idx", "createdate")
+
+
+@register
+def issue_list_all(spark, d):
+    """The whole list with its nested workflow, one row per stage."""
+    rows = listing.issue_list(v.issues(spark, d), v.workflow(spark, d), order="none")
+    return rows.select("issue_idx", "issue_subject", F.posexplode("workflow").alias("pos", "s")).select(
+        "issue_idx", "issue_subject", "pos", *[F.col(f"s.{f}").alias(f) for f in stages.STAGE_FIELDS[1:]]
+    )
+
+
 @register
 def nested_workflow(spark, d):
     rows = stages.with_workflow(v.issues(spark, d).select("issue_idx"), v.workflow(spark, d))

@@ -15,6 +15,7 @@ from ..operators.memos import ADD, DELETE, EDIT
 AS_OF = "2001-08-02 12:00:00"
 MEMO_CLOCK = "2024-01-01 06:00:00"
 PRIORITIES = (0, 1, 2, 3)
+LAST_SEEN = ("1998-06-01 00:00:00", 0)  # sort value and issue_idx of a row of the issue list
 
 TEMPLATES = {
     "default": "<div>{{title}}<p>{{message}}</p></div>",
@@ -90,7 +91,7 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(NULL AS string) AS memo",
         "int(o_orderkey % 7 + 1) AS progress_idx",
         "int(o_custkey % 4) AS product_idx",
-        "int(o_custkey % 6) AS category_idx",
+        "o_custkey % 6 AS category_idx",
         f"CASE WHEN {priority} < 4 THEN {priority} END AS priority_idx",
         "CAST(NULL AS int) AS delaycount",
         "o_orderkey % 4 = 0 AS is_updated",
@@ -194,7 +195,7 @@ def issue_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").cast("int").alias("category_idx"), F.col("s_name").alias("category_name")
+        F.col("s_suppkey").alias("category_idx"), F.col("s_name").alias("category_name")
     )
 
 
@@ -207,7 +208,7 @@ def category_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several renames per category, some of categories that do not exist."""
     return table(spark, sf_dir, "part").select(
-        F.floor(F.col("p_partkey") / 10).cast("int").alias("category_idx"),
+        F.floor(F.col("p_partkey") / 10).alias("category_idx"),
         F.col("p_partkey").alias("seq"),
         F.col("p_brand").alias("category_name"),
     )
@@ -216,7 +217,7 @@ def category_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
-        key.cast("int").alias("filter_idx"),
+        key.alias("filter_idx"),
         F.col("p_name").alias("filter_name"),
         _text('{"priority_idx":[', F.col("p_size") % 4, "]}").alias("filter_content"),
         F.when(key == 3, F.lit("1")).otherwise(F.lit("0")).alias("isdefaultfilter"),
@@ -234,10 +235,10 @@ def filter_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated ids, and ids that do not exist."""
     return table(spark, sf_dir, "customer").select(
-        (F.col("c_custkey") * 3).cast("int").alias("filter_idx")
+        (F.col("c_custkey") * 3).alias("filter_idx")
     ).unionByName(
         table(spark, sf_dir, "supplier").select(
-            (F.col("s_suppkey") * 3).cast("int").alias("filter_idx")
+            (F.col("s_suppkey") * 3).alias("filter_idx")
         )
     )
 

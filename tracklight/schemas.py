@@ -28,7 +28,7 @@ ISSUES = _schema(
     ("memo", _STR),
     ("progress_idx", _INT),
     ("product_idx", _INT),
-    ("category_idx", _INT),
+    ("category_idx", _LONG),
     ("priority_idx", _INT),
     ("delaycount", _INT),
     ("is_updated", _BOOL),
@@ -47,10 +47,10 @@ WORKFLOW = _schema(
     ("completedate", _TS),
 )
 
-CATEGORIES = _schema(("category_idx", _INT), ("category_name", _STR))
+CATEGORIES = _schema(("category_idx", _LONG), ("category_name", _STR))
 
 SAVED_FILTERS = _schema(
-    ("filter_idx", _INT),
+    ("filter_idx", _LONG),
     ("filter_name", _STR),
     ("filter_content", _STR),
     ("isdefaultfilter", _STR),
