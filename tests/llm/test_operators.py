@@ -446,6 +446,27 @@ def test_lm_scores(spark, awkward, nothing):
     assert lm_scoring.score_documents(nothing, target).count() == 0
 
 
+def test_lm_scores_with_most_words_looked_up_by_the_join(spark, awkward):
+    target = spark.createDataFrame([(6,), (7,), (None,)], "doc_id long")
+
+    def rounded(**bounds):
+        scored = lm_scoring.score_documents(awkward, target, size=4, **bounds)
+        return sorted(((r[0] or 0, r[1], *(round(x, 6) for x in r[2:])) for r in scored.collect()))
+
+    assert rounded(near_words=2) == rounded()
+    assert len(rounded()) == len(AWKWARD)
+
+
+def test_lm_losses_grow_with_the_vocabulary(spark):
+    """Every word counts: a text of words that only its kind has is nearer to the target of that kind."""
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{(i * 7 + k) % 50}" for k in range(40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    target = docs.where("doc_id % 2 = 0 AND doc_id < 30").select("doc_id")
+    scored = lm_scoring.score_documents(docs, target, size=2, near_words=5).where("doc_id >= 30").collect()
+    near, far = ([r.difference for r in scored if r.doc_id % 2 == kind] for kind in (0, 1))
+    assert max(near) < min(far)
+
+
 # Pipeline -------------------------------------------------------------------------------------
 
 

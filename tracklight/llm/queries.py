@@ -163,13 +163,20 @@ WITH low AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM low
 ), vocabulary AS (
   SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS v
-  FROM words GROUP BY word QUALIFY v <= 1023
+  FROM words GROUP BY word QUALIFY v <= 2047
 ), numbered AS (
-  SELECT doc_id, i, coalesce(v, 0) AS v FROM words LEFT JOIN vocabulary USING (word)
+  SELECT doc_id, i, word, coalesce(v, 0) AS v FROM words LEFT JOIN vocabulary USING (word)
 ), good AS (
   SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0
+), rare AS (
+  SELECT word, count(*) AS b, count(*) FILTER (doc_id IN (SELECT doc_id FROM good)) AS t
+  FROM numbered WHERE v = 0 GROUP BY word
+), shares AS (
+  SELECT word, ln((sum(b) OVER () + count(*) OVER ())::DOUBLE / (b + 1)) AS b,
+    ln((sum(t) OVER () + count(*) OVER ())::DOUBLE / (t + 1)) AS t
+  FROM rare
 ), bigrams AS (
-  SELECT doc_id, v, coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0) AS h FROM numbered
+  SELECT doc_id, word, v, coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0) AS h FROM numbered
 ), counts AS (
   SELECT h, v, 'b' AS model, count(*) AS n FROM bigrams GROUP BY h, v
   UNION ALL
@@ -177,8 +184,8 @@ WITH low AS (
 ), models AS (
   SELECT unnest(['b', 't']) AS model
 ), unigrams AS (
-  SELECT m.model, x.v, (coalesce(u.n, 0) + 1.0::DOUBLE) / (coalesce(t.n, 0) + 1024) AS p
-  FROM models m CROSS JOIN (SELECT unnest(range(0, 1024)) AS v) x
+  SELECT m.model, x.v, (coalesce(u.n, 0) + 1.0::DOUBLE) / (coalesce(t.n, 0) + 2048) AS p
+  FROM models m CROSS JOIN (SELECT unnest(range(0, 2048)) AS v) x
   LEFT JOIN (SELECT model, v, sum(n) AS n FROM counts GROUP BY model, v) u
     ON u.model = m.model AND u.v = x.v
   LEFT JOIN (SELECT model, sum(n) AS n FROM counts GROUP BY model) t ON t.model = m.model
@@ -186,8 +193,10 @@ WITH low AS (
   SELECT model, h, sum(n) AS n, count(*) AS kinds FROM counts GROUP BY model, h
 ), scored AS (
   SELECT g.doc_id, m.model, -ln((coalesce(c.n, 0) + greatest(coalesce(x.kinds, 0), 1) * u.p)
-    / (coalesce(x.n, 0) + greatest(coalesce(x.kinds, 0), 1))) AS loss
+    / (coalesce(x.n, 0) + greatest(coalesce(x.kinds, 0), 1)))
+    + CASE WHEN g.v > 0 THEN 0 WHEN m.model = 'b' THEN s.b ELSE s.t END AS loss
   FROM bigrams g CROSS JOIN models m
+  LEFT JOIN shares s ON s.word = g.word AND g.v = 0
   JOIN unigrams u ON u.model = m.model AND u.v = g.v
   LEFT JOIN counts c ON c.model = m.model AND c.h = g.h AND c.v = g.v
   LEFT JOIN contexts x ON x.model = m.model AND x.h = g.h
