@@ -124,8 +124,9 @@ def log_probabilities(cells: np.ndarray, counts: np.ndarray, size: int) -> np.nd
     words = table.sum(0)
     low = (words + 1) / (words.sum() + size)
     n, t = table.sum(1), np.maximum((table > 0).sum(1), 1)
-    table += t[:, None] * low
-    table /= (n + t)[:, None]
+    for row, kinds, total in zip(table, t, n):  # in place: the table is the largest thing held
+        row += kinds * low
+        row /= total + kinds
     return np.log(table, out=table).ravel().astype(np.float32)
 
 
@@ -149,11 +150,11 @@ def score_documents(
     # Always a merge join: the plan, and what it shuffles, shall not change with the size of the labels.
     marked = rows.join(targets.hint("merge"), "doc_id", "left").select(F.coalesce("is_target", F.lit(False)).alias("is_target"), "text")
     found = checkpointed(counts(marked, known, size))
-    classes = found.where("cell IS NOT NULL").select("cell", "target", "background").toPandas()  # size * size at most
-    cells = classes["cell"].to_numpy(dtype=np.int64)
-    models = [
-        log_probabilities(cells, classes[c].to_numpy(dtype=float), size) for c in ("target", "background")
-    ]
+    # At most size * size rows of 20 bytes; kept as Arrow, since the driver would hold pandas' copy as well.
+    classes = found.where("cell IS NOT NULL").select(F.col("cell").cast("int"), "target", "background").toArrow()
+    cells = classes["cell"].to_numpy()
+    models = [log_probabilities(cells, classes[c].to_numpy(), size) for c in ("target", "background")]
+    del classes, cells
     rare = found.where("word IS NOT NULL").select("word", "target", "background")
     kinds, *sums = rare.agg(F.count("word"), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("target", "background")]).first()
 
@@ -161,27 +162,31 @@ def score_documents(
         return F.log((F.lit(float(of + kinds))) / (F.col(n) + 1))
 
     losses = rare.select("word", share("target", sums[0]).alias("t"), share("background", sums[1]).alias("b"), "background")
-    near = losses.orderBy(F.desc("background"), "word").limit(near_words).select("word", "t", "b").collect()
-    own_loss = {r.word.encode(): (r.t, r.b) for r in near}
-    held = docs.sparkSession.sparkContext.broadcast((known, *models, own_loss))
+    near = losses.orderBy(F.desc("background"), "word").limit(near_words).select("word", "t", "b").toArrow()
+    places = {word.encode(): k for k, word in enumerate(near["word"].to_pylist())}
+    near_loss = np.stack([near["t"].to_numpy(), near["b"].to_numpy()])
+    held = docs.sparkSession.sparkContext.broadcast((known, *models, places, near_loss))
+    del models, places
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
-        numbered, target, background, near_loss = held.value
+        numbered, target, background, places, near_loss = held.value
         out = {"n_words": [], "t": [], "b": [], "mark": [], "far": []}
         for text in texts:
             own = words_of(text)
             numbers = _numbers(own, numbered)
             at = _cells(numbers, size) if len(numbers) else numbers
-            total = [-float(m[at].sum(dtype=np.float64)) for m in (target, background)]
-            far = []
+            total = np.array([-m[at].sum(dtype=np.float64) for m in (target, background)])
+            far, near, times = [], [], []
             for word, n in Counter(own[k] for k in np.flatnonzero(numbers == 0).tolist()).items():
-                loss = near_loss.get(word)
-                if loss is None:
+                place = places.get(word)
+                if place is None:
                     far.append({"word": word.decode(), "n": n})
                 else:
-                    total[0] += n * loss[0]
-                    total[1] += n * loss[1]
-            values = (len(own), *total, xxhash.xxh64_intdigest(text or b"") >> 1, far)
+                    near.append(place)
+                    times.append(n)
+            if near:
+                total += near_loss[:, near] @ np.array(times, float)
+            values = (len(own), *total.tolist(), xxhash.xxh64_intdigest(text or b"") >> 1, far)
             for name, value in zip(out, values):
                 out[name].append(value)
         return out
