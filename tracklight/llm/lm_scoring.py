@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import checkpointed, map_texts, pieces
+from tracklight.llm.common import map_texts, pieces
+from tracklight.session import shared_dir
 
 #: Classes: the most frequent words but one, and one class for the rest. A model has at most the square of
 #: this many class bigrams, so its table of losses takes 4 bytes times that (17 MB) in a task.
@@ -130,6 +131,13 @@ def log_probabilities(cells: np.ndarray, counts: np.ndarray, size: int) -> np.nd
     return np.log(table, out=table).ravel().astype(np.float32)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """`df` read again from the folder that the cluster shares."""
+    folder = shared_dir(df.sparkSession, "lm")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def score_documents(
     docs: DataFrame, is_target: DataFrame, size: int = CLASSES, near_words: int = NEAR_WORDS
 ) -> DataFrame:
@@ -149,7 +157,8 @@ def score_documents(
     targets = is_target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
     # Always a merge join: the plan, and what it shuffles, shall not change with the size of the labels.
     marked = rows.join(targets.hint("merge"), "doc_id", "left").select(F.coalesce("is_target", F.lit(False)).alias("is_target"), "text")
-    found = checkpointed(counts(marked, known, size))
+    # Tables of words are written as Parquet, which packs them better than a checkpoint does.
+    found = _written(counts(marked, known, size))
     # At most size * size rows of 20 bytes; kept as Arrow, since the driver would hold pandas' copy as well.
     classes = found.where("cell IS NOT NULL").select(F.col("cell").cast("int"), "target", "background").toArrow()
     cells = classes["cell"].to_numpy()
@@ -193,21 +202,9 @@ def score_documents(
 
     # Equal rows have equal results, so they are added up under one key and come apart at the end.
     key = ["doc_id", "mark"]
-    own = map_texts(rows, run, "n_words long, t double, b double, mark long, far array<struct<word: string, n: long>>")
-    parts = own.select(
-        *key,
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(1).cast("long").alias("n"))), "far"
-            )
-        ).alias("part"),
-        "n_words",
-        "t",
-        "b",
-    ).select(*key, "part.word", "part.n", "n_words", "t", "b")
-    parts = checkpointed(parts)
-    texts = parts.where("word IS NULL").select(*key, F.col("n").alias("copies"), "n_words", "t", "b")
-    far = parts.where("word IS NOT NULL").select(*key, "word", "n").join(losses.select("word", "t", "b"), "word")
+    own = _written(map_texts(rows, run, "n_words long, t double, b double, mark long, far array<struct<word: string, n: long>>"))
+    texts = own.select(*key, F.lit(1).cast("long").alias("copies"), "n_words", "t", "b")
+    far = own.select(*key, F.inline("far")).join(losses.select("word", "t", "b"), "word")
     none = F.lit(0).cast("long")
     far = far.select(*key, none.alias("copies"), none.alias("n_words"), (F.col("n") * F.col("t")).alias("t"), (F.col("n") * F.col("b")).alias("b"))
     added = texts.unionByName(far).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("copies", "n_words", "t", "b")])
