@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -248,12 +248,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, grouping: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
     """`docs` without all but the document of the smallest id of each group of near documents.
 
-    All columns stay. Rows with a NULL id stay. Of repeated rows with one id, one stays.
+    All columns stay. Rows with a NULL id stay. Of repeated rows with one id, one stays. `grouping`
+    gives doc_id and component_id of the documents.
     """
-    groups = checkpointed(near_groups(docs).select("doc_id", "component_id"))
+    groups = checkpointed(grouping(docs).select("doc_id", "component_id"))
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     gone = others.join(first, "doc_id", "left_anti")
