@@ -106,6 +106,35 @@ def test_mix_against_brute_force(spark, awkward, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixed_rows_follow_the_mix(spark, awkward, nothing):
+    for df in (table(spark, SMALL, "documents"), awkward):
+        digest = Counter()
+        for r in mixing.mix(df).collect():
+            digest[r.doc_id, r.source] += r.taken
+        rows = mixing.mixed(df).collect()
+        assert set(mixing.mixed(df).columns) == {*df.columns, "epoch", "taken"}
+        assert all(r.taken == len(ascii_words(r.text)) > 0 for r in rows)
+        texts = {}
+        for r in df.collect():
+            texts.setdefault((r.doc_id, r.source), []).append(r.text or "")
+        got = Counter()
+        for r in rows:
+            assert any(t.startswith(r.text) for t in texts[r.doc_id, r.source])
+            got[r.doc_id, r.source] += r.taken
+        assert got == +digest and max(r.epoch for r in rows) == 2
+    assert sum(r.text not in texts[r.doc_id, r.source] for r in rows) > 0  # some are cut
+    assert mixing.mixed(nothing).count() == 0
+
+
+def test_last_stage_gives_the_mixed_texts(spark):
+    docs = table(spark, SMALL, "documents")
+    corpus = corpus_pipeline.mixture(spark, docs, SMALL)
+    assert {*docs.columns, "epoch", "taken"} == set(corpus.columns)
+    got = rows_of(corpus_pipeline.taken(docs, corpus).select("doc_id", "size", "taken"))
+    assert sorted(got) == sorted(mixed(rows_of(docs.select("doc_id", "text", "source"))))
+    assert any(t == 0 for _, _, t in got) and corpus.where("taken = 0 OR n_chars <> length(text)").count() == 0
+
+
 # Substring dedup ------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import checkpointed, word_count
+from tracklight.llm.common import WORD, checkpointed, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -89,15 +89,56 @@ def mix(
     Prefix sums take two steps: sums of hash ranges of a source, about as many as the root of the
     number of rows, then the rows of one range. So no task holds a whole source.
     """
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"))
+    return _placed(rows, weights, share, most_epochs, seed).select(
+        "doc_id", "source", "size", "source_size", "target",
+        (F.col("size") * F.col("_epochs") + F.col("_partly")).cast("long").alias("taken"),
+    )
+
+
+def mixed(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    most_epochs: int = MOST_EPOCHS,
+    seed: str = SEED,
+) -> DataFrame:
+    """The mixed data: `docs` with one row for each epoch that takes a document, as `mix` decides.
+
+    All columns of `docs` stay; epoch counts from 1, and taken (long) is the number of words of the row.
+    The last document of a source is cut behind its last word that is taken. Documents of which nothing
+    is taken are not in it. Columns of `docs` named epoch or taken give way.
+    """
+    rows = docs.withColumn("_size", word_count("text")).withColumnRenamed("size", "_own_size")
+    rows = rows.withColumnRenamed("_size", "size")
+    placed = _placed(rows.drop("epoch", "taken"), weights, share, most_epochs, seed)
+    last = F.when(F.col("_partly") > 0, F.array(F.struct((F.col("_epochs") + 1).alias("epoch"), F.col("_partly").alias("taken"))))
+    whole = F.when(
+        (F.col("_epochs") > 0) & (F.col("size") > 0),
+        F.transform(F.sequence(F.lit(1).cast("long"), F.col("_epochs")), lambda e: F.struct(e.alias("epoch"), F.col("size").alias("taken"))),
+    )
+    none = F.array().cast("array<struct<epoch: bigint, taken: bigint>>")
+    rows = placed.select("*", F.inline(F.concat(F.coalesce(whole, none), F.coalesce(last, none))))
+    heads = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(heads, F.lit(1), F.col("taken").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text")))
+    if "size" in docs.columns:
+        rows = rows.drop("size").withColumnRenamed("_own_size", "size")
+    kept = [c for c in docs.columns if c not in ("epoch", "taken")]
+    return rows.select(*kept, "epoch", "taken")
+
+
+def _placed(
+    rows: DataFrame, weights: tuple[int, ...], share: float, most_epochs: int, seed: str
+) -> DataFrame:
+    """Rows with doc_id, source and size, and how often each is taken whole (_epochs) and in part (_partly)."""
     sized = checkpointed(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count("text").alias("size"),
+        rows.select(
+            "*",
             F.md5(
                 F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
                 .cast("binary")
-            ).alias("_key"),
+            ).alias("_place"),
         )
     )
     sources = checkpointed(
@@ -107,7 +148,7 @@ def mix(
     )
     rows = sources.agg(F.sum("_rows")).first()[0] or 0
     ranges = max(1, math.isqrt(rows))
-    key_start = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
+    key_start = F.conv(F.substring("_place", 1, 8), 16, 10).cast("long")
     ranged = sized.withColumn("_range", F.shiftright(key_start * ranges, 32))
 
     same = [F.col("source"), F.col("_range")]
@@ -118,7 +159,7 @@ def mix(
     targets = source_targets(sources.drop("_rows"), weights, share, most_epochs)
     starts = _join_source(starts, targets)
 
-    inside = Window.partitionBy(*same).orderBy("_key", "doc_id", "size").rowsBetween(*before)
+    inside = Window.partitionBy(*same).orderBy("_place", "doc_id", "size").rowsBetween(*before)
     placed = _join_source(
         ranged.withColumn("_inside", _sum_before("size", inside)), starts, "_range"
     ).withColumn("_before", F.col("_start") + F.col("_inside"))
@@ -126,10 +167,7 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
     partly = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * epochs + partly).cast("long").alias("taken"),
-    )
+    return placed.select("*", epochs.cast("long").alias("_epochs"), partly.cast("long").alias("_partly"))
 
 
 def _sum_before(value: str, window) -> Column:
