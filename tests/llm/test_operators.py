@@ -430,6 +430,19 @@ def test_entropy_windows_against_brute_force():
     assert secret_scan.entropy_spans("id 123e4567-e89b-12d3-a456-426614174000 end") == []
 
 
+def test_allowed_words_hide_only_what_they_touch():
+    key = "f8Kd92LmQz71XcVb40NsTy5R"
+    for text in (f"deploy/example/{key}", f"{key}/sample", f"a=placeholder/{key}=01234567", f"sha1=deploy/{key}"):
+        at = text.index(key)
+        spans = secret_scan.entropy_spans(text)
+        assert [(max(s, at), min(e, at + len(key))) for s, e in spans] == [(at, at + len(key))]
+        assert key not in secret_scan.masked(text)
+    assert secret_scan.entropy_spans("f8Kd92LmQz7exampleXcVb40NsTy5R") == []
+    digest = hashlib.sha256(b"x").hexdigest()
+    for text in ("123e4567-e89b-12d3-a456-426614174000", f"sha256-{digest}", "sha1-" + "Kd92LmQz71XcVb40NsTy5Rf8Kd9="):
+        assert secret_scan.entropy_spans(text) == []
+
+
 def test_secret_documents(spark, awkward, nothing):
     got = secret_scan.scan_documents(awkward).collect()
     empty = hashlib.sha256(b"").hexdigest()

@@ -26,13 +26,18 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Least bits per character of a window, by the class of its characters.
 HEX_BITS, BASE36_BITS, BASE64_BITS = 3.0, 3.4, 3.7
-#: Candidates that only look random.
+#: Candidates that only look random: UUIDs, and digests by name in hex or in base64 of their length.
 ALLOWED = re.compile(
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|(?:sha(?:1|256|384|512)|md5)[-_=].*"
-    r"|.*(?:example|sample|placeholder|abcdefgh|01234567|xxxxxx).*",
+    r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+    r"|(?:sha(?:1|256|384|512)|md5)[-_=][0-9a-f]{8,128}"
+    r"|md5[-_=][a-z0-9+/_-]{22}(?:==)?|sha1[-_=][a-z0-9+/_-]{27}=?|sha256[-_=][a-z0-9+/_-]{43}=?"
+    r"|sha384[-_=][a-z0-9+/_-]{64}|sha512[-_=][a-z0-9+/_-]{86}(?:==)?",
     re.IGNORECASE | re.ASCII,
 )
+#: Windows that overlap one of these do not count; the rest of their candidate does.
+ALLOWED_WORDS = re.compile(
+    r"example|sample|placeholder|abcdefgh|01234567|x{6,}", re.IGNORECASE | re.ASCII
+)
 _HEX_LOWER, _HEX_UPPER = frozenset("abcdef"), frozenset("ABCDEF")
 _ENTROPY_TERM = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -54,7 +59,13 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
         string = m.group()
         if ALLOWED.fullmatch(string) or not any("0" <= c <= "9" for c in string):
             continue  # every class asks for a digit
+        words = [w.span() for w in ALLOWED_WORDS.finditer(string)]
+        near = 0
         for at in _random_windows(string):
+            while near < len(words) and words[near][1] <= at:
+                near += 1
+            if near < len(words) and words[near][0] < at + WINDOW:
+                continue
             start = m.start() + at
             if found and start <= found[-1][1]:
                 found[-1] = (found[-1][0], start + WINDOW)
