@@ -255,6 +255,25 @@ def test_surrogates_keep_apart_and_keep_form():
             assert shape(new)[1:] == shape(text)[1:] or kind == "person"
 
 
+def test_names_go_on_and_other_forms_are_found():
+    text = "Peter Smith wrote. Mr. Peter Smith came; Smith, not Smithson, left with Peter Smith."
+    new, found = pii.replaced(text)
+    assert [f[3] for f in found] == ["Peter Smith", "Mr. Peter Smith", "Smith", "Peter Smith"]
+    name = pii.surrogate("person", "Mr. Peter Smith")[4:]
+    assert new == f"{name} wrote. Mr. {name} came; {name.split()[1]}, not Smithson, left with {name}."
+    iban, closed = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    for after in (" now", ", OK", " AB CD", ""):
+        assert pii.entities(f"to {iban}{after}") == [(3, 3 + len(iban), "iban")]
+    other = pii.surrogate("iban", iban)
+    assert other.replace(" ", "") == pii.surrogate("iban", closed) and pii.entities(other) == [(0, len(iban), "iban")]
+    assert pii.entities("AB12 4111 1111 1111 1111 x")[0][2] == "card"
+    for ip in ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1", "::ffff:10.0.0.1", "2001:DB8::aF1"):
+        assert pii.entities(f"at {ip}, yes") == [(3, 3 + len(ip), "ip")]
+        new = pii.surrogate("ip", ip)
+        assert new != ip and pii.entities(new) == [(0, len(new), "ip")]
+    assert pii.entities("at 12:30:45 std::vector a::b 10:20 ::") == []
+
+
 def test_surrogates_of_documents(spark, awkward, nothing):
     rows = [(1, "mail a.b@c.org and a.b@c.org or 10.0.0.1"), (2, "a.b@c.org"), (3, None)]
     got = rows_of(pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "n_entities", "spans"))

@@ -10,6 +10,7 @@ entities. `collisions` checks this over all entities of a corpus.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 from pyspark.sql import DataFrame
@@ -25,7 +26,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Señora|Señor|Monsieur|Madame|Mme)"
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+    "ip6": rf"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{{2,39}}(?:(?<=:){_OCTET}(?:\.{_OCTET}){{3}})?(?![\w:]|\.[0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ -]?)?\([0-9]{3}\)[ -]?[0-9]{3}[ -][0-9]{4}(?![0-9])"
     r"|\+[0-9]{1,3}(?:[ -][0-9]{2,4}){2,4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
@@ -34,6 +36,7 @@ KINDS = {
     "person": rf"\b{_TITLE}\.? +[^\W\d_]\w+(?: [^\W\d_a-z]\w+)?",
 }
 _ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
+_UNCHECKED = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items() if k not in ("iban", "ip6")))
 _TITLES = re.compile(rf"{_TITLE}\.? +")
 
 # Given names by gender. A name in a list is replaced by one of the same list.
@@ -152,21 +155,61 @@ def _is_iban(text: str) -> bool:
     return int(text[2:4]) == _iban_check(text[:2], text[4:])
 
 
+def _iban_end(text: str) -> int | None:
+    """Where an IBAN ends that starts the text: the longest in groups of four, else in any groups."""
+    ends = [i for i in range(len(text), 14, -1) if i == len(text) or text[i] == " "]
+    fours = [e for e in ends if all(len(g) == 4 for g in text[:e].split(" ")[:-1]) and len(text[:e].split(" ")[-1]) <= 4]
+    for e in fours + ends:
+        whole = text[:e].replace(" ", "")
+        if len(whole) >= 15 and _is_iban(whole):
+            return e
+    return None
+
+
+def _is_ip6(text: str) -> bool:
+    """Valid, and no mere pair of words such as a::b."""
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in text) or len([g for g in text.split(":") if g]) > 2
+
+
+def _ip6(text: str, key: bytes) -> str:
+    """Digits and letters a-f of each case are permuted; colons stay, and an IPv4 tail goes by itself."""
+    head, tail = text, ""
+    if "." in text:
+        head, tail = text[: text.rindex(":") + 1], surrogate("ip", text[text.rindex(":") + 1 :], key)
+    first = ["0" if c.isdigit() else "a" if c.islower() else "A" for c in head if c != ":"]
+    values = [ord(c) - ord(a) for c, a in zip(head.replace(":", ""), first)]
+    shape, of = "".join(first), iter(first)
+    shape = "".join(c if c == ":" else next(of) for c in head)
+    if values:
+        values = _permuted(values, [10 if a == "0" else 6 for a in first], f"ip6|{shape}", key)
+    new = iter(chr(ord(a) + v) for a, v in zip(first, values))
+    return "".join(c if c == ":" else next(new) for c in head) + tail
+
+
 def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     """The replacement of an entity: the same for equal entities, another for any other one."""
     if kind == "email":
         last = text.rindex(".")
         return _reformed(text, kind, key, frozenset(range(last, len(text))))
+    if kind == "ip" and ":" in text:
+        return _ip6(text, key)
     if kind == "ip":
         octets = [int(x) for x in text.split(".")]
         return ".".join(map(str, _permuted(octets, [256] * 4, kind, key)))
     if kind == "iban":
-        account = _reformed(text[4:], f"iban|{text[:2]}", key)
-        return f"{text[:2]}{_iban_check(text[:2], account):02d}{account}"
+        whole = text.replace(" ", "")
+        account = _reformed(whole[4:], f"iban|{whole[:2]}", key)
+        new = iter(f"{whole[:2]}{_iban_check(whole[:2], account):02d}{account}")
+        return "".join(c if c == " " else next(new) for c in text)
     if kind == "card":
         return _card(text, key)
     if kind == "person":
-        title = _TITLES.match(text).end()
+        titled = _TITLES.match(text)
+        title = titled.end() if titled else 0
         return text[:title] + " ".join(_name(n, key) for n in text[title:].split(" "))
     kept = 0
     if kind == "phone" and text[0] == "+":
@@ -175,12 +218,48 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points, from left to right, without overlaps."""
-    found = []
-    for m in _ENTITY.finditer(text):
-        if m.lastgroup != "iban" or _is_iban(m.group()):
-            found.append((m.start(), m.end(), m.lastgroup))
-    return found
+    """(start, end, kind) in code points, from left to right, without overlaps.
+
+    Names behind a title, and their capitalised words, are found in the whole text, titled or not.
+    """
+    found, at = [], 0
+    while m := _ENTITY.search(text, at):
+        start, end, kind = m.start(), m.end(), m.lastgroup
+        at = end
+        if kind == "iban":
+            size = _iban_end(m.group())
+            if size is None:  # a block is passed over as a whole; spaced groups may be something else
+                first = m.group().split(" ")[0]
+                at = start + (len(first) if len(first) >= 15 else 1)
+                m = _UNCHECKED.match(text, start) if at == start + 1 else None
+                if m is None:
+                    continue
+                end, kind = m.end(), m.lastgroup
+            else:
+                end = start + size
+            at = end
+        if kind == "ip6":
+            if not _is_ip6(text[start:end]):
+                m = _UNCHECKED.match(text, start)
+                if m is None:
+                    at = start + 1
+                    continue
+                end, kind = m.end(), m.lastgroup
+                at = end
+            else:
+                kind = "ip"
+        found.append((start, end, kind))
+    names = {text[s:e][_TITLES.match(text[s:e]).end() :] for s, e, kind in found if kind == "person"}
+    names |= {w for n in names for w in n.split(" ") if not w[0].islower()}
+    if not names:
+        return found
+    mentions = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})(?!\w)")
+    out, at = [], 0
+    for start, end, kind in [*found, (len(text), len(text), "")]:
+        out += [(m.start(), m.end(), "person") for m in mentions.finditer(text, at, start)]
+        out.append((start, end, kind))
+        at = end
+    return out[:-1]
 
 
 def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str, str, str]]]:
