@@ -36,6 +36,9 @@ KINDS = {
     "person": rf"\b{_TITLE}\.? +[^\W\d_]\w+(?: [^\W\d_a-z]\w+)?",
 }
 _ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
+#: Every IPv6 address has this; most texts do not, and need not be searched for one.
+_COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
+_NO_IP6 = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items() if k != "ip6"))
 _UNCHECKED = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items() if k not in ("iban", "ip6")))
 _TITLES = re.compile(rf"{_TITLE}\.? +")
 
@@ -223,7 +226,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     Names behind a title, and their capitalised words, are found in the whole text, titled or not.
     """
     found, at = [], 0
-    while m := _ENTITY.search(text, at):
+    pattern = _ENTITY if _COLONS.search(text) else _NO_IP6
+    while m := pattern.search(text, at):
         start, end, kind = m.start(), m.end(), m.lastgroup
         at = end
         if kind == "iban":
