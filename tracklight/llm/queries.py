@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,11 @@ from tracklight.llm import (
     secret_scan,
     simhash,
     suffix_dedup,
+    token_files,
     toxicity,
 )
 from tracklight.llm.common import in_fold, table
+from tracklight.session import shared_dir
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 4) for c in rounded})
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, from the files of ids that were written."""
+    folder = shared_dir(spark, "ids")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_corpus(table(spark, sf_dir, "documents"), folder, tokenizer)
+    return token_files.digests(spark, folder)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +96,7 @@ QUERIES = {
         op8_leaks,
         op9_quality,
         op10_lm_scores,
+        op11_token_files,
     )
 }
 
