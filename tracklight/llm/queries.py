@@ -17,6 +17,7 @@ from tracklight.llm import (
     simhash,
     suffix_dedup,
     token_files,
+    token_links,
     toxicity,
 )
 from tracklight.llm.common import in_fold, table
@@ -83,6 +84,12 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, folder)
 
 
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of two tokenizers by document, with how common their pairs are."""
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_links.link_documents(table(spark, sf_dir, "documents"), *files)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +104,7 @@ QUERIES = {
         op9_quality,
         op10_lm_scores,
         op11_token_files,
+        op13_token_links,
     )
 }
 
