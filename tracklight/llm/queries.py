@@ -19,6 +19,7 @@ from tracklight.llm import (
     token_files,
     token_links,
     toxicity,
+    whitening,
 )
 from tracklight.llm.common import in_fold, table
 from tracklight.session import shared_dir
@@ -84,6 +85,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, folder)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of two tokenizers by document, with how common their pairs are."""
     files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
@@ -104,6 +110,7 @@ QUERIES = {
         op9_quality,
         op10_lm_scores,
         op11_token_files,
+        op12_whitening,
         op13_token_links,
     )
 }
