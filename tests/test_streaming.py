@@ -9,7 +9,8 @@ from tracklight import schemas
 from tracklight.operators import notifications, usage
 from tracklight.registry import views as v
 from tracklight.sources.tables import read_usage_stream
-from tracklight.streaming import jobs
+from tracklight.streaming import jobs, runs
+from tracklight.streaming.runs import RunLog
 
 
 def rows(df):
@@ -96,18 +97,8 @@ def test_delivery_over_batches_is_the_batch_result(spark, feed, tmp_path):
                 batch.append(("push", random.choice("aabc"), None, push, when))
         batches.append(batch)
     stream, events = feed(jobs.SERVICE_EVENTS, *batches)
-    # A close before its connect would be ignored by one batch and not by another: drop those.
-    first = {}
-    for kind, _, connection, _, ts in (e for b in batches for e in b):
-        if kind == "connect":
-            first[connection] = ts
-    known = [(c, t) for c, t in first.items()]
-    starts = spark.createDataFrame(known, "connection_id long, at timestamp_ntz")
-    early = F.col("at").isNull() | (F.col("ts") < F.col("at"))
-    keep = ~((F.col("kind") == "close") & early)
-    usable = events.join(starts, "connection_id", "left").filter(keep).drop("at")
-    connections = jobs.connection_intervals(usable)
-    pushes = usable.filter("kind = 'push'").select(
+    connections = jobs.connection_intervals(events)
+    pushes = events.filter("kind = 'push'").select(
         "push_id", F.col("ip").alias("target_ip"), F.col("ts").alias("sent_at")
     )
     path = str(tmp_path / "job")
@@ -176,6 +167,109 @@ def test_a_late_push_meets_a_closed_connection(spark, feed, tmp_path):
     assert jobs.failed(spark, path).isEmpty() and jobs.open_connections(spark, path).isEmpty()
 
 
-def test_a_missing_state_is_an_error(spark, tmp_path):
+def test_a_missing_run_is_an_error(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path), "t", schemas.PUSHES)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        jobs._state(spark, str(tmp_path), "open", 3, jobs._KEPT)
+        log.read(3).count()
+    assert log.read(-1).count() == 0
+
+
+def test_runs_hold_all_rows_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runs, "TOP", 2)
+    schema = schemas.PUSHES
+    log = RunLog(spark, str(tmp_path), "t", schema)
+    for batch in range(11):
+        for _ in range(2 if batch in (0, 3) else 1):  # a batch may be repeated
+            log.write(spark.createDataFrame([(batch, "a", dt(2024, 1, 1))], schema), batch)
+        if batch in (1, 2, 7, 10):
+            assert sorted(r.push_id for r in log.read(batch).collect()) == list(range(batch + 1))
+    assert runs._ends(11) == [(2, 3), (2, 7), (1, 9), (0, 10)]
+    assert log.tidy(10) > 0 and log.tidy(10) == 0
+    assert sorted(r.push_id for r in log.read(10).collect()) == list(range(11))
+    log.write(spark.createDataFrame([(10, "a", dt(2024, 1, 1))], schema), 10)  # still repeatable
+    log.write(spark.createDataFrame([(11, "a", dt(2024, 1, 1))], schema), 11)
+    assert log.read(11).count() == 12
+
+
+def service_feed(seed, n, clients="aabc"):
+    """Connects, closes and pushes, with repeated ids, closes before connects and unknown ones."""
+    rng, at, out = random.Random(seed), dt(2024, 1, 1), []
+    for push in range(n):
+        at += timedelta(seconds=rng.randint(0, 90))
+        roll = rng.random()
+        if roll < 0.35:
+            out.append(("connect", rng.choice(clients), rng.randint(0, n // 3), None, at))
+        elif roll < 0.6:
+            out.append(("close", None, rng.randint(0, n // 3 + 2), None, at))
+        else:
+            out.append(("push", rng.choice(clients), None, push, at))
+    return out
+
+
+@pytest.mark.parametrize("seed,cuts", [(2, 3), (3, 4)])
+def test_any_order_of_the_feed_gives_the_batch_result(spark, feed, tmp_path, seed, cuts):
+    events = service_feed(seed, 160)
+    random.Random(seed).shuffle(events)
+    stream, whole = feed(jobs.SERVICE_EVENTS, *[events[i::cuts] for i in range(cuts)])
+    connections = jobs.connection_intervals(whole)
+    pushes = whole.filter("kind = 'push'").select(
+        "push_id", F.col("ip").alias("target_ip"), F.col("ts").alias("sent_at")
+    )
+    path, other = str(tmp_path / "job"), str(tmp_path / "other")
+    run(jobs.stream_delivery(stream, path, available_now=True))
+    assert jobs.last_batch(spark, path) == cuts - 1
+    want = rows(notifications.deliverable(pushes, connections))
+    assert len(want) > 20 and rows(jobs.delivered(spark, path)) == want
+    assert rows(jobs.failed(spark, path)) == rows(notifications.undeliverable(pushes, connections))
+    still = rows(connections.filter("closed_at IS NULL").select("id", "ip", "connected_at"))
+    assert rows(jobs.open_connections(spark, path)) == still
+    run(jobs.stream_connections(stream, other, available_now=True))
+    assert rows(jobs.open_connections(spark, other)) == still
+    jobs.tidy(spark, path)
+    assert rows(jobs.delivered(spark, path)) == want and rows(jobs.open_connections(spark, path)) == still
+
+
+def test_a_batch_writes_its_own_connections(spark, feed, tmp_path):
+    at = dt(2024, 1, 1)
+    first = [("connect", "a", i, None, at) for i in range(500)]
+    later = [[("close", None, i, None, at + timedelta(hours=i))] for i in range(1, 3)]
+    stream, _ = feed(jobs.SERVICE_EVENTS, first, [("connect", "b", 900, None, at)], *later)
+    path = str(tmp_path / "job")
+    run(jobs.stream_connections(stream, path, available_now=True))
+    written = spark.read.parquet(f"{path}/connections/level=0/run=2")
+    assert rows(written) == [(1, None, None, at + timedelta(hours=1))]
+    assert {(r.ip, r.connections) for r in jobs.connected_clients(spark, path).collect()} == {("a", 498), ("b", 1)}
+
+
+def test_what_a_late_close_takes_back(spark, feed, tmp_path):
+    hour = lambda h: dt(2024, 1, 1, h)
+    stream, _ = feed(
+        jobs.SERVICE_EVENTS,
+        [("connect", "a", 1, None, hour(1)), ("push", "a", None, 5, hour(4)), ("push", "a", None, 6, hour(2))],
+        [("close", None, 1, None, hour(3))],
+        [("connect", "a", 2, None, hour(0))],
+    )
+    path = str(tmp_path / "job")
+    run(jobs.stream_delivery(stream, path, available_now=True))
+    got = {(r.push_id, r.connection_id) for r in jobs.delivered(spark, path).collect()}
+    assert got == {(5, 2), (6, 1), (6, 2)}
+    taken = spark.read.parquet(f"{path}/pairs/level=1/run=1")
+    assert [(r.push_id, r.connection_id) for r in taken.collect()] == [(6, 1)]
+
+
+def test_memos_that_expire_are_written_once(spark, feed, tmp_path):
+    memo = lambda pos, hour, auto: (pos, f"k{pos}", "t", "c", hour and dt(2024, 1, 1, hour, 30), auto)
+    stream, _ = feed(
+        schemas.MEMOS, [memo(0, 1, True), memo(1, 1, None), memo(2, None, True), memo(3, None, False)],
+        [memo(4, 2, True)], [memo(5, 1, True), memo(6, 6, True)], [memo(7, 1, False)],
+    )
+    path = str(tmp_path / "job")
+    clock = lambda batch: dt(2024, 1, 1, (2, 5, 6, 4)[batch], 20)
+    run(jobs.stream_memo_expiry(stream, path, clock, available_now=True))
+    by_batch = [
+        sorted(r.pos for r in spark.read.schema(schemas.MEMOS).parquet(f"{path}/expired/batch={b}").collect()) for b in range(4)
+    ]
+    assert by_batch == [[2], [0], [4, 5], []]
+    assert [r[0] for r in rows(jobs.live_memos(spark, path))] == [1, 3, 6, 7]
+    assert sorted(r.pos for r in jobs.expired_memos(spark, path).collect()) == [0, 2, 4, 5]
+    assert jobs.live_memos(spark, str(tmp_path / "none")).isEmpty()

@@ -1,8 +1,9 @@
 """Structured Streaming jobs for the live counters, connections, deliveries and memos.
 
-All state lives in Spark's state store or in tables below `path`, which must be a folder that all
-executors reach. Each micro-batch writes its own `batch=<id>` folder in overwrite mode, so a batch
-that is repeated after a failure replaces its first result.
+All state lives in tables below `path`, which must be a folder that all executors reach. Each
+micro-batch writes folders of its own in overwrite mode, so a batch that is repeated after a
+failure replaces its first result. Connections, pushes, deliveries and memos are kept as runs
+(`RunLog`): a batch adds its rows to them and never writes all that is there.
 """
 
 from __future__ import annotations
@@ -10,16 +11,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
-from ..functions.dates import month_key, wall_seconds
-from ..operators.memos import expire_memos
+from ..functions.dates import month_key, ntz, wall_seconds
+from ..operators.memos import LIFETIME_HOURS, expire_memos
 from ..operators.notifications import deliverable
 from ..operators.usage import LINK_ACTION
+from ..session import ensure_checkpoint_dir
+from .runs import RunLog
 
 CONNECT, CLOSE, PUSH = "connect", "close", "push"
 
@@ -42,13 +45,12 @@ SERVICE_EVENTS = T.StructType(
 )
 
 _DELIVERED = T.StructType(schemas.PUSHES.fields + [T.StructField("connection_id", T.LongType())])
-_FINISHED = T.StructField("finished", T.LongType())
-_OPEN = T.StructType(
-    [f for f in schemas.CONNECTIONS if f.name != "closed_at"]
+_SIGNED = T.StructType(_DELIVERED.fields + [T.StructField("times", T.LongType())])
+_FINISHED = T.StructType(
+    [T.StructField("finished", T.LongType()), T.StructField("clock", T.TimestampNTZType())]
 )
-_KEPT = T.StructType(_OPEN.fields + [schemas.CONNECTIONS["closed_at"]])
-#: A closed connection is kept for pushes that come so much later than newer events.
-LATENESS = "1 day"
+_OPEN = [f for f in schemas.CONNECTIONS.names if f != "closed_at"]
+_EXPIRING = T.StructType(schemas.MEMOS.fields + [T.StructField("expires", T.StringType())])
 
 
 def _batch_dir(path: str, table: str, batch_id: int) -> str:
@@ -64,27 +66,21 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
         return spark.createDataFrame([], schema)
 
 
-def _state(spark: SparkSession, path: str, table: str, batch_id: int, schema: T.StructType) -> DataFrame:
-    """What batch `batch_id` - 1 left. Only the first batch starts from nothing."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    folder = _batch_dir(path, table, batch_id - 1)
-    return spark.read.schema(schema).parquet(folder).select(*schema.names)
-
-
 def _with_column(schema: T.StructType, name: str) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField(name, T.LongType())])
 
 
-def _commit(spark: SparkSession, path: str, batch_id: int) -> None:
+def _commit(spark: SparkSession, path: str, batch_id: int, clock=None) -> None:
     """Mark a batch as finished, after all its tables are written."""
-    done = spark.range(1).select(F.lit(batch_id).cast("long").alias("finished"))
+    done = spark.range(1).select(
+        F.lit(batch_id).cast("long").alias("finished"), ntz(clock).alias("clock")
+    )
     done.write.mode("overwrite").parquet(_batch_dir(path, "finished", batch_id))
 
 
 def last_batch(spark: SparkSession, path: str) -> int:
     """Id of the last finished batch, -1 if there is none."""
-    done = _read_or_empty(spark, f"{path}/finished", T.StructType([_FINISHED]))
+    done = _read_or_empty(spark, f"{path}/finished", _FINISHED)
     latest = done.agg(F.max("finished")).first()[0]
     return -1 if latest is None else latest
 
@@ -179,106 +175,208 @@ def usage_counts(spark: SparkSession, path: str) -> DataFrame:
 # -- connections and deliveries ---------------------------------------------------------------
 
 
+def _intervals(made: DataFrame, ended: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Connections of (id, ip, ts) and (id, ts), and the closes that come before any of them."""
+    made = made.filter(F.col("ts").isNotNull() & F.col("id").isNotNull())
+    first = made.groupBy("id").agg(F.min(F.struct("ts", "ip")).alias("_made")).select(
+        "id", F.col("_made.ip").alias("ip"), F.col("_made.ts").alias("connected_at")
+    )
+    closes = ended.join(first.select("id", "connected_at"), "id", "left")
+    meets = F.coalesce(F.col("ts") >= F.col("connected_at"), F.lit(False))
+    last = closes.filter(meets).groupBy("id").agg(F.min("ts").alias("closed_at"))
+    return first.join(last, "id", "left"), closes.filter(~meets).select("id", "ts").distinct()
+
+
+def _made_and_ended(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kind, named = F.col("kind"), F.col("connection_id").alias("id")
+    return (
+        events.filter(kind == CONNECT).select(named, "ip", "ts"),
+        events.filter(kind == CLOSE).select(named, "ts"),
+    )
+
+
 def connection_intervals(events: DataFrame) -> DataFrame:
     """Connect and close events as connections.
 
     A connection ends with its first close from the moment it was made; earlier closes are
     ignored, as are those of unknown connections. A close needs no ip.
     """
-    ts, kind = F.col("ts"), F.col("kind")
-    made = (
-        events.filter(kind == CONNECT)
-        .groupBy(F.col("connection_id").alias("id"))
-        .agg(F.min_by("ip", "ts").alias("ip"), F.min("ts").alias("connected_at"))
-    )
-    ended = (
-        events.filter(kind == CLOSE)
-        .select(F.col("connection_id").alias("id"), "ts")
-        .join(made.select("id", "connected_at"), "id")
-        .filter(ts >= F.col("connected_at"))
-        .groupBy("id")
-        .agg(F.min("ts").alias("closed_at"))
+    return _intervals(*_made_and_ended(events))[0]
+
+
+def _as_rows(connections: DataFrame, early: DataFrame) -> DataFrame:
+    """Connections, and closes that may yet find one, as rows without a moment of connection."""
+    waiting = early.select(
+        "id",
+        F.lit(None).cast("string").alias("ip"),
+        F.lit(None).cast("timestamp_ntz").alias("connected_at"),
+        F.col("ts").alias("closed_at"),
     )
-    return made.join(ended, "id", "left")
+    return connections.select(*schemas.CONNECTIONS.names).unionByName(waiting)
 
 
-def _advance(batch: DataFrame, path: str, batch_id: int, lateness: str = LATENESS) -> DataFrame:
-    """Connections seen by this batch, with those of the batches before that it has to know.
+def _fold_connections(rows: DataFrame) -> DataFrame:
+    """Rows of several runs as one row for each connection, and closes that wait for theirs.
 
-    Open connections stay in the state, closed ones until `lateness` after their end by the newest
-    event of a batch, so that late pushes meet them. A missing state is an error.
+    The moment of connection can only move back, so of the closes after it only the first counts.
     """
-    spark = batch.sparkSession
-    before = _state(spark, path, "open", batch_id, _KEPT)
-    own = [F.col("id").alias("connection_id"), "ip"]
-    made = before.select(F.lit(CONNECT).alias("kind"), *own, F.col("connected_at").alias("ts"))
-    ended = before.filter(F.col("closed_at").isNotNull()).select(
-        F.lit(CLOSE).alias("kind"), *own, F.col("closed_at").alias("ts")
-    )
-    events = batch.select("kind", "connection_id", "ip", "ts")
-    seen = connection_intervals(events.unionByName(made).unionByName(ended))
-    newest = batch.agg(F.max("ts").alias("ts")).scalar()
-    closed_long_ago = F.col("closed_at") < newest - F.expr(f"INTERVAL {lateness}")
-    kept = seen.filter(F.col("closed_at").isNull() | ~F.coalesce(closed_long_ago, F.lit(False)))
-    kept.select(*_KEPT.names).write.mode("overwrite").parquet(_batch_dir(path, "open", batch_id))
-    return seen
+    made = rows.filter(F.col("connected_at").isNotNull()).select("id", "ip", F.col("connected_at").alias("ts"))
+    ended = rows.filter(F.col("closed_at").isNotNull()).select("id", F.col("closed_at").alias("ts"))
+    return _as_rows(*_intervals(made, ended))
+
+
+def _connection_log(spark: SparkSession, path: str) -> RunLog:
+    return RunLog(spark, path, "connections", schemas.CONNECTIONS, _fold_connections)
+
+
+def _push_log(spark: SparkSession, path: str) -> RunLog:
+    return RunLog(spark, path, "pushes", schemas.PUSHES)
+
+
+def _fold_pairs(pairs: DataFrame) -> DataFrame:
+    summed = pairs.groupBy(*_DELIVERED.names).agg(F.sum("times").alias("times"))
+    return summed.filter(F.col("times") != 0)
+
+
+def _pair_log(spark: SparkSession, path: str) -> RunLog:
+    return RunLog(spark, path, "pairs", _SIGNED, _fold_pairs)
 
 
 def stream_connections(
     events: DataFrame, path: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Keep the open connections of a stream of connect and close events."""
+    """Keep the open connections of a stream of connect and close events.
+
+    Events may come in any order, however late. A batch writes what its own events say of their
+    connections; readers and merges put that together.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _advance(batch, path, batch_id)
-        _commit(batch.sparkSession, path, batch_id)
+        spark = batch.sparkSession
+        log = _connection_log(spark, path)
+        log.write(_as_rows(*_intervals(*_made_and_ended(batch))), batch_id)
+        _commit(spark, path, batch_id)
 
     return _start(events, "append", path, handle, available_now)
 
 
+def _known(log: RunLog, events: DataFrame, batch_id: int) -> DataFrame:
+    """What the runs before a batch hold of the connections that its events are about.
+
+    Ids that grow with time lie close together, so their bounds let the scan pass over most files.
+    """
+    ids = events.select(F.col("connection_id").alias("id")).filter("id IS NOT NULL")
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    rows = log.rows(batch_id - 1)
+    if low is None:
+        return rows.limit(0)
+    return rows.filter(F.col("id").between(low, high)).join(ids.distinct(), "id", "left_semi")
+
+
+def _settled(old: DataFrame, new: DataFrame, pushes: DataFrame) -> DataFrame | None:
+    """Deliveries of earlier pushes that changed connections add (times 1) and take back (-1)."""
+    was = old.select("id", *[F.col(c).alias(f"_{c}") for c in ("ip", "connected_at", "closed_at")])
+    fields = ("ip", "connected_at", "closed_at")
+    same = F.lit(True)
+    for c in fields:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    changed = new.join(was, "id", "left").filter(~same).persist()
+    try:
+        moved = ~(F.col("ip").eqNullSafe(F.col("_ip")) & F.col("connected_at").eqNullSafe(F.col("_connected_at")))
+        begins = F.when(moved, F.col("connected_at")).otherwise(F.least("closed_at", "_closed_at"))
+        start = changed.agg(F.min(begins)).first()[0]
+        if start is None:
+            return None
+        late = pushes.filter(F.col("sent_at") >= F.lit(start)).join(
+            changed.select(F.explode(F.array("ip", "_ip")).alias("target_ip")).distinct(), "target_ip", "left_semi"
+        ).select(*schemas.PUSHES.names)
+        if late.isEmpty():
+            return None
+        now = deliverable(late, changed.select("id", *fields)).withColumn("times", F.lit(1).cast("long"))
+        before = changed.filter(F.col("_connected_at").isNotNull()).select("id", *[F.col(f"_{c}").alias(c) for c in fields])
+        then = deliverable(late, before).withColumn("times", F.lit(-1).cast("long"))
+        return _fold_pairs(now.unionByName(then)).checkpoint()
+    finally:
+        changed.unpersist()
+
+
 def stream_delivery(
     events: DataFrame, path: str, available_now: bool = False
 ) -> StreamingQuery:
     """Deliver each push of a service event stream to the connections open at that moment.
 
-    Writes `delivered` (push and connection) and `failed` (pushes that met no connection), and
-    keeps the open connections like `stream_connections`. A client with most of the
+    After any batch `delivered` and `failed` are what `deliverable` and `undeliverable` give for
+    all events so far, in whatever order and batches they came and however late. A batch joins its
+    pushes to the connections known by then. Where its events make or move a connection, earlier
+    pushes from the moment on that it touches are settled anew: `pairs` says with a sign what comes
+    and what is taken back. In a feed without delay there are none. A client with most of the
     connections is spread over the tasks by the join of `deliverable`.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        ensure_checkpoint_dir(spark)
+        connections, pushes, pairs = (make(spark, path) for make in (_connection_log, _push_log, _pair_log))
         batch.persist()
+        new = None
         try:
-            seen = _advance(batch, path, batch_id)
-            pushes = batch.filter(F.col("kind") == PUSH).select(
+            sent = batch.filter(F.col("kind") == PUSH).select(
                 "push_id", F.col("ip").alias("target_ip"), F.col("ts").alias("sent_at")
             )
-            sent = _batch_dir(path, "delivered", batch_id)
-            deliverable(pushes, seen).write.mode("overwrite").parquet(sent)
-            reached = spark.read.schema(_DELIVERED).parquet(sent).select("push_id").distinct()
-            pushes.join(reached, "push_id", "left_anti").write.mode("overwrite").parquet(
-                _batch_dir(path, "failed", batch_id)
-            )
+            own = _as_rows(*_intervals(*_made_and_ended(batch)))
+            is_made = F.col("connected_at").isNotNull()
+            if batch_id == 0:
+                new = own.persist()
+                connections.write(new, batch_id)
+                open_then, settled = new.filter(is_made), None
+            else:
+                known = _known(connections, batch.filter(F.col("kind") != PUSH), batch_id)
+                new = _fold_connections(own.unionByName(known)).persist()
+                connections.write(own, batch_id)
+                old = _fold_connections(known).filter(is_made)
+                settled = _settled(old, new.filter(is_made), pushes.read(batch_id - 1))
+                first = sent.agg(F.min("sent_at")).first()[0]
+                if first is None:
+                    others = new.limit(0)
+                else:
+                    rows = connections.rows(batch_id - 1).join(new.select("id"), "id", "left_anti")
+                    clients = sent.select(F.col("target_ip").alias("ip")).distinct()
+                    met = rows.join(clients, "ip", "left_semi").select("id").distinct()
+                    # An end is never taken back, so what had closed before the first push stays out.
+                    others = _fold_connections(rows.join(met, "id", "left_semi")).filter(
+                        F.col("closed_at").isNull() | (F.col("closed_at") > F.lit(first))
+                    )
+                open_then = new.unionByName(others.select(*new.columns)).filter(is_made)
+            made = deliverable(sent, open_then).withColumn("times", F.lit(1).cast("long"))
+            pairs.write(made if settled is None else made.unionByName(settled), batch_id)
+            pushes.write(sent, batch_id)
             _commit(spark, path, batch_id)
         finally:
             batch.unpersist()
+            if new is not None:
+                new.unpersist()
 
     return _start(events, "append", path, handle, available_now)
 
 
 def delivered(spark: SparkSession, path: str) -> DataFrame:
-    return _read_or_empty(spark, f"{path}/delivered", _DELIVERED)
+    """Pushes with the connections that they reach, by the events of all finished batches."""
+    pairs = _pair_log(spark, path).read(last_batch(spark, path))
+    return pairs.select(*_DELIVERED.names, F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col")
 
 
 def failed(spark: SparkSession, path: str) -> DataFrame:
-    return _read_or_empty(spark, f"{path}/failed", schemas.PUSHES)
+    """Pushes that meet no connection, by the events of all finished batches."""
+    last = last_batch(spark, path)
+    reached = _pair_log(spark, path).read(last).select("push_id").distinct()
+    return _push_log(spark, path).read(last).join(reached, "push_id", "left_anti")
 
 
 def open_connections(spark: SparkSession, path: str) -> DataFrame:
     """The connections left open after the last finished batch of a job."""
-    kept = _read_or_empty(spark, _batch_dir(path, "open", last_batch(spark, path)), _KEPT)
-    return kept.filter(F.col("closed_at").isNull()).select(*_OPEN.names)
+    known = _connection_log(spark, path).read(last_batch(spark, path))
+    is_open = F.col("connected_at").isNotNull() & F.col("closed_at").isNull()
+    return known.filter(is_open).select(*_OPEN)
 
 
 def connected_clients(spark: SparkSession, path: str) -> DataFrame:
@@ -288,28 +386,92 @@ def connected_clients(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def tidy(spark: SparkSession, path: str) -> int:
+    """Remove the runs of a job that later ones have taken up; returns how many. The job must be stopped."""
+    last = last_batch(spark, path)
+    logs = (_connection_log, _push_log, _pair_log, _memo_log)
+    return sum(make(spark, path).tidy(last) for make in logs)
+
+
 # -- memos ------------------------------------------------------------------------------------
 
+_NEVER, _HOUR = "never", "yyyyMMddHH"
+
+
+def _memo_log(spark: SparkSession, path: str, clock=None) -> RunLog:
+    """Memos by the hour in which they expire; merges leave out what has expired at `clock`."""
+
+    def left(rows: DataFrame) -> DataFrame:
+        return rows if clock is None else _live(rows, clock)
+
+    return RunLog(spark, path, "memos", _EXPIRING, left, partition_by="expires")
+
+
+def _expires(hours: int) -> Column:
+    """The hour in which a memo expires, which names its folder."""
+    ends = F.col("datetime") + F.make_dt_interval(F.lit(0), F.lit(hours))
+    hour = F.coalesce(F.date_format(ends, _HOUR), F.lit("0"))
+    return F.when(F.coalesce("autoDelete", F.lit(False)), hour).otherwise(F.lit(_NEVER))
+
+
+def _live(rows: DataFrame, clock) -> DataFrame:
+    """Rows not expired; the folders of past hours are not read."""
+    return expire_memos(rows.filter(F.col("expires") >= F.date_format(ntz(clock), _HOUR)), clock)
+
 
 def stream_memo_expiry(
     memos: DataFrame, path: str, clock: Callable[[int], object], available_now: bool = False
 ) -> StreamingQuery:
-    """Keep the memos that have not expired from a stream of new ones.
+    """Keep the memos that have not expired from a stream of new ones, and write those that have.
 
-    `clock` gives the time of a batch by its id, so that a repeated batch sees the same time.
+    `clock` gives the time of a batch by its id, so that a repeated batch sees the same time; a
+    clock that goes back is taken to stand still. Memos lie in folders by the hour in which they
+    expire. A batch writes its own memos and, as `expired`, those whose time has come since the
+    batch before: it reads the folders of these hours alone. Merged runs have no expired memos.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _state(spark, path, "memos", batch_id, schemas.MEMOS)
-        left = expire_memos(before.unionByName(batch.select(*before.columns)), clock(batch_id))
-        left.write.mode("overwrite").parquet(_batch_dir(path, "memos", batch_id))
-        _commit(spark, path, batch_id)
+        now, before = clock(batch_id), _clock(spark, path, batch_id - 1)
+        if before is not None:
+            now = spark.range(1).select(F.greatest(ntz(now), ntz(before))).first()[0]
+        new = batch.select(*schemas.MEMOS.names).withColumn("expires", _expires(LIFETIME_HOURS)).persist()
+        try:
+            _write_expired(spark, path, new, now, before, batch_id)
+            _memo_log(spark, path, now).write(new, batch_id)
+            _commit(spark, path, batch_id, now)
+        finally:
+            new.unpersist()
 
     return _start(memos, "append", path, handle, available_now)
 
 
+def _write_expired(spark: SparkSession, path: str, new: DataFrame, now, before, batch_id: int) -> None:
+    hour = F.date_format(ntz(now), _HOUR)
+    ended = new.filter(F.col("expires") <= hour)
+    if before is not None:
+        since = F.date_format(ntz(before), _HOUR)
+        kept = _memo_log(spark, path).rows(batch_id - 1).filter(F.col("expires").between(since, hour))
+        ended = expire_memos(kept, before).unionByName(ended)
+    gone = ended.filter(~F.coalesce(F.col("datetime") + F.make_dt_interval(F.lit(0), F.lit(LIFETIME_HOURS)) >= ntz(now), F.lit(False)))
+    gone.select(*schemas.MEMOS.names).write.mode("overwrite").parquet(_batch_dir(path, "expired", batch_id))
+
+
+def _clock(spark: SparkSession, path: str, batch_id: int):
+    if batch_id < 0:
+        return None
+    return spark.read.schema(_FINISHED).parquet(_batch_dir(path, "finished", batch_id)).first()["clock"]
+
+
 def live_memos(spark: SparkSession, path: str) -> DataFrame:
     """The memos left after the last finished batch of a `stream_memo_expiry` job."""
-    batch = _batch_dir(path, "memos", last_batch(spark, path))
-    return _read_or_empty(spark, batch, schemas.MEMOS)
+    last = last_batch(spark, path)
+    if last < 0:
+        return spark.createDataFrame([], schemas.MEMOS)
+    rows = _memo_log(spark, path).rows(last)
+    return _live(rows, _clock(spark, path, last)).select(*schemas.MEMOS.names)
+
+
+def expired_memos(spark: SparkSession, path: str) -> DataFrame:
+    """All memos that a `stream_memo_expiry` job has let go."""
+    return _read_or_empty(spark, f"{path}/expired", schemas.MEMOS)
