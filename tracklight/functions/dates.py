@@ -43,6 +43,12 @@ def wall_seconds(ts: Column) -> Column:
     return wall_minutes(ts) * 60 + F.second(ts)
 
 
+def wall_micros(ts: Column) -> Column:
+    """Microseconds since 1970 by the fields of the timestamp."""
+    seconds = F.extract(F.lit("SECOND"), ts)  # with its fraction
+    return wall_minutes(ts) * 60_000_000 + (seconds * 1_000_000).cast("long")
+
+
 def whole_days(end: Column, start: Column) -> Column:
     """Number of midnights between two moments; negative if `end` is earlier."""
     return F.datediff(end, start)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_login_link, link_key
 from ..plans.intervals import LEVEL, PIECE, with_interval_pieces, with_point_pieces
 from ..plans.scans import running
+from ..plans.successors import with_next
 from ..session import ensure_checkpoint_dir
 from .memos import ADD, DELETE, EDIT, NO_SUCH_DELETE, NO_SUCH_EDIT
 
@@ -37,13 +38,17 @@ def _with_cuts(urls: DataFrame, keys: DataFrame) -> DataFrame:
 def _duplicate_keys(candidates: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates with their key, and the keys that are taken.
 
-    Both sides of the join are made distinct first, so a prefix shared by most links is one row
-    per task before the shuffle.
+    A key is the beginning of some stored URL exactly if the least URL that is not below it starts
+    with it, so each key and each URL is shuffled once, whatever their lengths. Login links are
+    compared by their own keys apart from that.
     """
     keyed = candidates.withColumn("key", link_key(F.col("url")))
     keys = keyed.select("key").distinct()
-    cuts = _with_cuts(links.select("url"), keys).select("key").distinct()
-    return keyed, keys.join(cuts, "key", "left_semi")
+    is_login = F.coalesce(is_login_link(F.col("url")), F.lit(False))
+    own = links.filter(is_login).select(link_key(F.col("url")).alias("key")).distinct()
+    above = with_next(keys, "key", links.filter(~is_login).select("url"), "_url")
+    begins = above.filter(F.startswith("_url", "key")).select("key")
+    return keyed, begins.unionByName(keys.join(own, "key", "left_semi"))
 
 
 def duplicate_links(candidates: DataFrame, links: DataFrame) -> DataFrame:

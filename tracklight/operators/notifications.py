@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.dates import ntz, wall_minutes
+from ..functions.dates import ntz, wall_micros, wall_minutes
 from ..plans.intervals import LEVEL, PIECE, with_interval_pieces, with_point_pieces
-from ..plans.scans import row_numbers
+from ..plans.scans import BLOCK, row_numbers, running
 from ..plans.sizes import broadcast_if_small
 
 # Fixed value: length of an inbox.
@@ -138,17 +138,31 @@ def deliverable(pushes: DataFrame, connections: DataFrame) -> DataFrame:
 
 
 def undeliverable(pushes: DataFrame, connections: DataFrame) -> DataFrame:
-    """Pushes whose client has no open connection; they fail and are not stored."""
-    points, stays = _pieces(pushes.select("push_id", "target_ip", "sent_at"), connections)
-    pieces, open_pieces = points.alias("p"), stays.alias("c")
-    match = (
-        (F.col("p.target_ip") == F.col("c.target_ip"))
-        & (F.col(f"p.{LEVEL}") == F.col(f"c.{LEVEL}"))
-        & (F.col(f"p.{PIECE}") == F.col(f"c.{PIECE}"))
-        & _open_at("p.sent_at")
+    """Pushes whose client has no open connection; they fail and are not stored.
+
+    A sweep over the time of each client counts the connections: one more where one begins, one
+    less where it ends. No push meets a connection. The running counts go over minutes and within
+    them, so a busy client spreads over the tasks.
+    """
+    moments = connections.filter(F.coalesce(F.col("closed_at") > F.col("connected_at"), F.col("closed_at").isNull()))
+    none = F.lit(None).cast(pushes.schema)
+    begins, ends = (
+        moments.filter(F.col(c).isNotNull()).select(
+            F.col("ip").alias("_client"), F.col(c).alias("_ts"), F.lit(step).alias("_step"), none.alias("_push")
+        )
+        for c, step in (("connected_at", 1), ("closed_at", -1))
+    )
+    asked = pushes.select(
+        F.col("target_ip").alias("_client"), F.col("sent_at").alias("_ts"), F.lit(0).alias("_step"), F.struct("*").alias("_push")
     )
-    reached = pieces.join(open_pieces, match, "left_semi").select("push_id").distinct()
-    return pushes.join(reached, "push_id", "left_anti")
+    # What begins or ends at the moment of a push counts for it.
+    place = wall_micros(F.col("_ts")) * 2 + F.when(F.col("_push").isNull(), 0).otherwise(1)
+    swept = asked.unionByName(begins).unionByName(ends).select("*", place.alias("_place"), wall_minutes(F.col("_ts")).alias(BLOCK))
+    known = swept.filter(F.col("_client").isNotNull() & F.col("_ts").isNotNull())
+    counted = running(known, ["_client"], "_place", {"_open": ("sum", F.col("_step"))})
+    alone = counted.filter(F.col("_push").isNotNull() & (F.col("_open") == 0)).select("_push.*")
+    unknown = pushes.filter(F.col("target_ip").isNull() | F.col("sent_at").isNull())
+    return alone.unionByName(unknown)
 
 
 def with_template(notifications: DataFrame, templates: DataFrame) -> DataFrame:
