@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,17 +44,39 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` gives, made once in a Python worker, which Spark reuses for many tasks.
+
+    This module travels by value, so it is a new one in each task; `sys.modules` stays.
+    """
+    holder = sys.modules.setdefault("kept_by_worker", types.ModuleType("kept_by_worker"))
+    kept = holder.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """`name`, with as many underscores before it as it takes to be no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_texts(
     df: DataFrame, function: Callable[[list[bytes | None]], dict[str, list]], schema: str
 ) -> DataFrame:
     """Add columns that `function` makes from each batch of column `text` (UTF-8 bytes).
 
     The other columns of `df` are kept, `text` is not. `schema` declares the new columns; one of
-    the same name in `df` gives way.
+    the same name in `df`, in any case, gives way.
     """
-    new = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
-    kept = [c for c in df.columns if c not in ("text", *new)]
-    fields = df.select(*kept).schema.simpleString()[7:-1]
+    made_fields = StructType.fromDDL(schema).fields
+    new = {f.name: to_arrow_type(f.dataType) for f in made_fields}
+    gone = {"text", *map(str.lower, new)}
+    fields = [f for f in df.schema if f.name.lower() not in gone]
+    kept = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +89,8 @@ def map_texts(
                     | {k: pa.array(made[k], kind) for k, kind in new.items()}
                 )
 
-    return df.select(*kept, "text").mapInArrow(run, f"{fields}, {schema}" if kept else schema)
+    columns = [F.col(f"`{c}`") for c in kept]
+    return df.select(*columns, "text").mapInArrow(run, StructType([*fields, *made_fields]))
 
 
 def filter_texts(df: DataFrame, keep: Callable[[list[bytes | None]], list[bool]]) -> DataFrame:

@@ -9,6 +9,7 @@ entities. `collisions` checks this over all entities of a corpus.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import ipaddress
 import re
@@ -16,16 +17,17 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import map_texts
+from tracklight.llm.common import map_texts, unused
+from tracklight.session import shared_dir
 
 KEY = b"surrogates"
 ROUNDS = 8
 
-# How entities look. Where two start at one place, the first kind counts.
+# How entities look. Where two start at one place, the first kind counts, but for
+# e-mail addresses, which come before all and are sought from their @ outwards.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TITLE = r"(?:Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Señora|Señor|Monsieur|Madame|Mme)"
 KINDS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
     "ip6": rf"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{{2,39}}(?:(?<=:){_OCTET}(?:\.{_OCTET}){{3}})?(?![\w:]|\.[0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
@@ -35,10 +37,18 @@ KINDS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "person": rf"\b{_TITLE}\.? +[^\W\d_]\w+(?: [^\W\d_a-z]\w+)?",
 }
-_ENTITY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
-#: Every IPv6 address has this; most texts do not, and need not be searched for one.
-_COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
-_NO_IP6 = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items() if k != "ip6"))
+#: What every entity of a kind has. Most texts have few of these, and need no search for the others.
+_SIGNS = {
+    "iban": re.compile(r"[A-Z]{2}[0-9]{2}"),
+    "ip6": re.compile(r":[0-9A-Fa-f]{0,4}:"),
+    "ip": re.compile(r"[0-9]\.[0-9]{1,3}\.[0-9]"),
+    "phone": re.compile(r"\([0-9]{3}\)|\+[0-9]{1,3}[ -][0-9]|[0-9]{3}-[0-9]{3}-"),
+    "card": re.compile(r"[0-9](?:[ -]?[0-9]){12}"),
+    "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-"),
+    "person": re.compile(rf"{_TITLE}[. ]"),
+}
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _UNCHECKED = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items() if k not in ("iban", "ip6")))
 _TITLES = re.compile(rf"{_TITLE}\.? +")
 
@@ -220,20 +230,53 @@ def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
     return _reformed(text, kind, key, frozenset(range(kept)))
 
 
+@functools.cache
+def _pattern(kinds: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?P<{k}>{KINDS[k]})" for k in kinds))
+
+
+def _emails(text: str) -> list[tuple[int, int, int]]:
+    """(start, place of the @, end) of the addresses; each character is looked at once."""
+    found, least, at = [], 0, text.find("@")
+    while at >= 0:
+        start, domain = at, _DOMAIN.match(text, at + 1)
+        if domain:
+            while start > least and _LOCAL.match(text[start - 1]):
+                start -= 1
+            if start < at:
+                found.append((start, at, domain.end()))
+        least = at + 1
+        at = text.find("@", least)
+    return found
+
+
+def _next(pattern: re.Pattern | None, text: str, at: int, emails: list[tuple[int, int, int]]):
+    """(start, end, kind, text) of the first entity from `at` on."""
+    while emails and emails[0][1] <= at:
+        emails.pop(0)
+    m = pattern.search(text, at) if pattern else None
+    if emails:
+        start, end = max(emails[0][0], at), emails[0][2]
+        if m is None or start <= m.start():
+            return start, end, "email"
+    return (m.start(), m.end(), m.lastgroup) if m else None
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, from left to right, without overlaps.
 
     Names behind a title, and their capitalised words, are found in the whole text, titled or not.
     """
     found, at = [], 0
-    pattern = _ENTITY if _COLONS.search(text) else _NO_IP6
-    while m := pattern.search(text, at):
-        start, end, kind = m.start(), m.end(), m.lastgroup
+    kinds = tuple(k for k, sign in _SIGNS.items() if sign.search(text))
+    pattern, emails = _pattern(kinds) if kinds else None, _emails(text)
+    while m := _next(pattern, text, at, emails):
+        start, end, kind = m
         at = end
         if kind == "iban":
-            size = _iban_end(m.group())
+            size = _iban_end(text[start:end])
             if size is None:  # a block is passed over as a whole; spaced groups may be something else
-                first = m.group().split(" ")[0]
+                first = text[start:end].split(" ")[0]
                 at = start + (len(first) if len(first) >= 15 else 1)
                 m = _UNCHECKED.match(text, start) if at == start + 1 else None
                 if m is None:
@@ -281,21 +324,29 @@ _FOUND = "array<struct<start: int, end: int, kind: string, entity: string, surro
 
 
 def detected(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(doc_id, found): the entities of each whole text with their surrogates."""
+    """`docs` with `found`, the entities of each whole text with their surrogates, and the new text.
+
+    NULL has no entities and stays NULL. A column of `docs` named found gives way.
+    """
+    new_text = unused("new_text", docs)
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
         names = ("start", "end", "kind", "entity", "surrogate")
-        return {"found": [[dict(zip(names, f)) for f in replaced((t or b"").decode(), key)[1]] for t in texts]}
+        made = [replaced((t or b"").decode(), key) for t in texts]
+        return {
+            "found": [[dict(zip(names, f)) for f in found] for _, found in made],
+            new_text: [None if t is None else new for t, (new, _) in zip(texts, made)],
+        }
 
-    return map_texts(docs.select("doc_id", "text"), run, f"found {_FOUND}")
+    return map_texts(docs, run, f"found {_FOUND}, {new_text} string").withColumnRenamed(new_text, "text")
 
 
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def collisions(found: DataFrame) -> DataFrame:
     """(kind, surrogate, entities): surrogates that stand for more than one entity. None should.
 
     Entities are made distinct before the shuffle, so a frequent one weighs no more than others.
     """
-    pairs = detected(docs, key).select(F.inline("found")).select("kind", "entity", "surrogate").distinct()
+    pairs = found.select(F.inline("found")).select("kind", "entity", "surrogate").distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("entities")).where("entities > 1")
 
 
@@ -303,22 +354,19 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """Replace the entities of each whole text: `docs` with new texts, n_entities (long) and spans.
 
     `spans` lists kind:start:end of the entities in code points of the old text, joined by commas.
-    All documents are checked for collisions first; if there are any, ValueError is raised. NULL stays
-    NULL and has no entities; rows are treated one by one, so repeated rows get equal results. A
-    column of `docs` named n_entities or spans gives way. No rows give no rows.
+    Texts are searched once: what was found is written to the shared folder, checked for collisions
+    over all documents, and read back; if there are any, ValueError is raised. NULL stays NULL and
+    has no entities; rows are treated one by one, so repeated rows get equal results. A column of
+    `docs` named found, n_entities or spans gives way. No rows give no rows.
     """
-    clash = collisions(docs, key).limit(3).collect()
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "surrogates")
+    detected(docs, key).write.parquet(folder)
+    made = spark.read.parquet(folder)
+    clash = collisions(made).limit(3).collect()
     if clash:
         raise ValueError(f"surrogates of several entities: {clash}")
-
-    def run(texts: list[bytes | None]) -> dict[str, list]:
-        out = {"new_text": [], "n_entities": [], "spans": []}
-        for t in texts:
-            text, found = replaced((t or b"").decode(), key)
-            out["new_text"].append(None if t is None else text)
-            out["n_entities"].append(len(found))
-            out["spans"].append(",".join(f"{kind}:{start}:{end}" for start, end, kind, _, _ in found))
-        return out
-
-    made = map_texts(docs, run, "new_text string, n_entities long, spans string")
-    return made.withColumnRenamed("new_text", "text")
+    span = F.transform("found", lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string")))
+    kept = [c for c in made.columns if c.lower() not in ("found", "n_entities", "spans")]
+    return made.select(
+        *[F.col(f"`{c}`") for c in kept], F.size("found").cast("long").alias("n_entities"), F.array_join(span, ",").alias("spans")
+    )
