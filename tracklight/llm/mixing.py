@@ -107,25 +107,43 @@ def mixed(
 
     All columns of `docs` stay; epoch counts from 1, and taken (long) is the number of words of the row.
     The last document of a source is cut behind its last word that is taken. Documents of which nothing
-    is taken are not in it. Columns of `docs` named epoch or taken give way.
+    is taken are not in it. Columns of `docs` named epoch or taken, in any case, give way; others
+    may have any name.
     """
-    rows = docs.withColumn("_size", word_count("text")).withColumnRenamed("size", "_own_size")
-    rows = rows.withColumnRenamed("_size", "size")
-    placed = _placed(rows.drop("epoch", "taken"), weights, share, most_epochs, seed)
+    kept = [c for c in docs.columns if c.lower() not in ("epoch", "taken")]
+    rows = docs.select(
+        "doc_id",
+        "source",
+        word_count("text").alias("size"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"),
+    )
+    placed = _placed(rows, weights, share, most_epochs, seed)
     last = F.when(F.col("_partly") > 0, F.array(F.struct((F.col("_epochs") + 1).alias("epoch"), F.col("_partly").alias("taken"))))
     whole = F.when(
         (F.col("_epochs") > 0) & (F.col("size") > 0),
         F.transform(F.sequence(F.lit(1).cast("long"), F.col("_epochs")), lambda e: F.struct(e.alias("epoch"), F.col("size").alias("taken"))),
     )
     none = F.array().cast("array<struct<epoch: bigint, taken: bigint>>")
-    rows = placed.select("*", F.inline(F.concat(F.coalesce(whole, none), F.coalesce(last, none))))
-    heads = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    rows = placed.select("_doc", "size", F.inline(F.concat(F.coalesce(whole, none), F.coalesce(last, none))))
+    heads = F.regexp_extract_all("_doc.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(heads, F.lit(1), F.col("taken").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("text")))
-    if "size" in docs.columns:
-        rows = rows.drop("size").withColumnRenamed("_own_size", "size")
-    kept = [c for c in docs.columns if c not in ("epoch", "taken")]
-    return rows.select(*kept, "epoch", "taken")
+    text = F.when(F.col("taken") < F.col("size"), cut).otherwise(F.col("_doc.text"))
+    return rows.select(
+        *[(text if c == "text" else F.col(f"_doc.`{c}`")).alias(c) for c in kept], "epoch", "taken"
+    )
+
+
+def taken_words(docs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(doc_id, source, size, epochs, taken): words of `docs` and what of them is in their mix.
+
+    Documents without an id count together for each source.
+    """
+    keys = ["doc_id", "source"]
+    before = docs.groupBy(*keys).agg(F.sum(word_count("text")).alias("size"))
+    after = corpus.groupBy(*keys).agg(F.max("epoch").alias("epochs"), F.sum("taken").alias("taken"))
+    after = after.withColumnsRenamed({c: f"_{c}" for c in keys})
+    joined = before.join(after, [before[c].eqNullSafe(after[f"_{c}"]) for c in keys], "left")
+    return joined.select(*keys, "size", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("epochs", "taken")])
 
 
 def _placed(

@@ -8,7 +8,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from tracklight.llm.common import map_texts
+from tracklight.llm.common import map_texts, unused
 
 # The base rules, in the order of their kinds, with the shortest length that counts.
 ASSIGN = re.compile(
@@ -157,10 +157,11 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     """
 
     def run(texts: list[bytes | None]) -> dict[str, list]:
-        return {"_clean": [None if t is None else masked(t.decode()) for t in texts]}
+        return {clean: [None if t is None else masked(t.decode()) for t in texts]}
 
-    masked_texts = map_texts(docs, run, "_clean string")
-    return masked_texts.withColumnRenamed("_clean", "text").select(*docs.columns)
+    clean = unused("clean", docs)
+    masked_texts = map_texts(docs, run, f"{clean} string")
+    return masked_texts.withColumnRenamed(clean, "text").select(*[f"`{c}`" for c in docs.columns])
 
 
 def masked(text: str) -> str:
