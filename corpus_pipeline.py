@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklight.llm import decontaminate, mixing, quality_gam, secret_scan, simhash
-from tracklight.llm import near_dedup as near_dedup_groups
-from tracklight.llm.common import table, word_count
+from tracklight.llm.common import table
 from tracklight.session import shared_dir
 
 
@@ -22,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 0.8 or more of their five-word shingles in common."""
-    return simhash.one_of_each(docs, near_dedup_groups.near_groups)
+    """One document of each group that SimHash links: 4-word shingles, at most 4 differing bits."""
+    return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +40,6 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def taken(docs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(doc_id, source, size, epochs, taken): words of the documents before the mix and in the corpus.
-
-    Documents without an id count together for each source.
-    """
-    keys = ["doc_id", "source"]
-    before = docs.groupBy(*keys).agg(F.sum(word_count("text")).alias("size"))
-    after = corpus.groupBy(*keys).agg(F.max("epoch").alias("epochs"), F.sum("taken").alias("taken"))
-    after = after.withColumnsRenamed({c: f"_{c}" for c in keys})
-    joined = before.join(after, [before[c].eqNullSafe(after[f"_{c}"]) for c in keys], "left")
-    return joined.select(*keys, "size", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("epochs", "taken")])
-
-
 STAGES = [
     ("quality classifier", quality),
     ("near-dedup", near_dedup),
@@ -73,4 +59,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         before, docs = docs, spark.read.parquet(f"{folder}/{k}")
-    return taken(before, docs)
+    return mixing.taken_words(before, docs)
