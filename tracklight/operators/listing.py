@@ -54,7 +54,7 @@ def list_order(order: str | None, field: str | None) -> list[Column]:
     return [key, F.col("issue_idx").asc()]
 
 
-def _after(last: tuple, order: str | None, field: str | None) -> Column:
+def after_row(last: tuple, order: str | None, field: str | None) -> Column:
     """Rows that come after the one with sort value and issue_idx `last`, in `list_order`."""
     value, idx = last
     if order and order not in ("ascend", "descend"):
@@ -86,7 +86,7 @@ def listed_issues(
     rows = filter_issues(with_current_stage(issues, workflow), wanted).select(*ISSUE_COLUMNS)
     if after is not None:
         list_order(order, field)  # checks the field
-        rows = rows.filter(_after(after, order, field))
+        rows = rows.filter(after_row(after, order, field))
     keys = list_order(order, field)
     if size and not keys:
         keys = [F.col("issue_idx").asc()]  # any order will do, but pages must fit together

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.dates import ntz, wall_micros, wall_minutes
 from ..plans.intervals import LEVEL, PIECE, with_interval_pieces, with_point_pieces
 from ..plans.scans import BLOCK, row_numbers, running
-from ..plans.sizes import broadcast_if_small
+from ..schemas import NOTIFICATIONS
 
 # Fixed value: length of an inbox.
 INBOX_ROWS = 100
 
+_STORED = T.StructType(NOTIFICATIONS.fields + [T.StructField("seq", T.LongType())])
+_BATCHED = T.StructType(_STORED.fields + [T.StructField("batch", T.LongType())])
+
 INBOX_COLUMNS = ("id", "type", "title", "message", "action_url", "is_read", "created_at")
 
 
-def next_notifications(messages: DataFrame, stored: DataFrame, as_of) -> DataFrame:
+def next_notifications(messages: DataFrame, stored: DataFrame, as_of, keep_seq: bool = False) -> DataFrame:
     """Rows to append for new messages {seq, target_ip, type, title, message, action_url}.
 
-    Ids go on from the highest stored one in the order of `seq`.
+    Ids go on from the highest stored one in the order of `seq`, which `keep_seq` keeps.
     """
     last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).scalar()
     return row_numbers(messages, "seq", "_n").select(
@@ -32,6 +36,7 @@ def next_notifications(messages: DataFrame, stored: DataFrame, as_of) -> DataFra
         text.stored_url(F.col("action_url")).alias("action_url"),
         F.lit(False).alias("is_read"),
         ntz(as_of).alias("created_at"),
+        *(["seq"] if keep_seq else []),
     )
 
 
@@ -40,6 +45,51 @@ def append_notifications(messages: DataFrame, stored: DataFrame, path: str, as_o
     next_notifications(messages, stored, as_of).write.mode("append").parquet(path)
 
 
+def store_messages(messages: DataFrame, path: str, batch_id: int, as_of) -> DataFrame:
+    """Store a batch of messages in the notification table at `path`; returns them with ids and `seq`.
+
+    Each batch has a folder. Its ids go on from the highest of the batches before it, which do not
+    change any more, so a repeated batch replaces its messages by the same ones with the same ids.
+    """
+    spark = messages.sparkSession
+    folder = f"{path}/batch={batch_id}"
+    earlier = stored_messages(spark, path, batch_id - 1)
+    numbered = next_notifications(messages, earlier, as_of, keep_seq=True)
+    numbered.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(_STORED).parquet(folder)
+
+
+def stored_messages(spark: SparkSession, path: str, upto: int) -> DataFrame:
+    """The notification table of the batches 0 to `upto`, all of which must be there."""
+    if upto < 0:
+        return spark.createDataFrame([], NOTIFICATIONS)
+    batches = spark.read.schema(_BATCHED).parquet(path)
+    return batches.filter(F.col("batch") <= upto).select(*NOTIFICATIONS.names)
+
+
+def send_pushes(
+    messages: DataFrame, connections: DataFrame, path: str, batch_id: int, as_of
+) -> tuple[DataFrame, DataFrame]:
+    """Send messages {seq, target_ip, type, title, message, action_url, sent_at}.
+
+    A message whose client has open connections at `sent_at` is stored, once, and goes to each of
+    them: the first result is (connection_id, id, target_ip, payload), the payload naming the id
+    under which the message is stored. The others fail and are not stored: the second result is
+    their `seq`. `seq` is unique within the batch; a batch may be repeated.
+    """
+    spark = messages.sparkSession
+    pushes = messages.select(F.col("seq").alias("push_id"), "target_ip", "sent_at")
+    folder = f"{path}-sent/batch={batch_id}"
+    # Who gets a message is settled before its id is, and both are read back.
+    deliverable(pushes, connections).select(F.col("push_id").alias("seq"), "connection_id").write.mode("overwrite").parquet(folder)
+    reached = spark.read.parquet(folder)
+    heard = messages.join(reached.select("seq").distinct(), "seq", "left_semi")
+    stored = store_messages(heard, path, batch_id, as_of)
+    payload = text.push_payload(*[F.col(c) for c in ("id", "type", "title", "message", "target_ip")])
+    sent = reached.join(stored, "seq").select("connection_id", "id", "target_ip", payload.alias("payload"))
+    return sent, messages.select("seq").join(reached.select("seq").distinct(), "seq", "left_anti")
+
+
 def inbox(notifications: DataFrame, ip: str | None = None, n: int = INBOX_ROWS) -> DataFrame:
     """The newest n messages of one client, or of every client; ties go by id.
 
@@ -166,16 +216,20 @@ def undeliverable(pushes: DataFrame, connections: DataFrame) -> DataFrame:
 
 
 def with_template(notifications: DataFrame, templates: DataFrame) -> DataFrame:
-    """Add the `template` of the message type; an unknown type gets the default template."""
+    """Add the `template` of the message type; an unknown type gets the default template.
+
+    A type has one template. Without a default template, messages of unknown types are an error.
+    """
     default = (
         templates.filter(F.col("type") == text.DEFAULT_TYPE)
         .agg(F.first("template").alias("template"))
         .scalar()
     )
-    bodies = broadcast_if_small(templates.select("type", F.col("template").alias("_own")))
+    own = templates.select("type", F.col("template").alias("_own"))
+    missing = F.raise_error(F.lit(f"no template of type {text.DEFAULT_TYPE!r}")).cast("string")
     return (
-        notifications.join(bodies, "type", "left")
-        .withColumn("template", F.coalesce("_own", default))
+        notifications.join(own, "type", "left")
+        .withColumn("template", F.coalesce("_own", default, missing))
         .drop("_own")
     )
 

@@ -40,6 +40,16 @@ STALLED_DAYS = 90
 NOT_AGEING_STAGES = (1, 6, 7)
 
 
+# What the summary counts, and by which columns.
+SUMMARY_KEYS = ("category_idx", "progress_idx", "priority_idx")
+
+
+def summary_measures() -> dict[str, Column | None]:
+    """The condition of each count of the summary; None counts all rows."""
+    status = F.col("status_idx")
+    return {"count": None, "waiting": (status == 0) | (status == 1), "in_progress": status == 2, "done": status == DONE}
+
+
 def _count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 

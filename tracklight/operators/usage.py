@@ -45,6 +45,46 @@ def count_url_hits(events: DataFrame) -> DataFrame:
     return _monthly(events.filter(F.col("action") == LINK_ACTION), URL_KEYS)
 
 
+def count_clients(events: DataFrame) -> DataFrame:
+    """The clients {date, ip} of each month, once each: a state that can be merged and rolled up."""
+    return events.select(month_key(F.col("ts")).alias("date"), "ip").distinct()
+
+
+def merge_clients(current: DataFrame, delta: DataFrame) -> DataFrame:
+    """Clients of months with those of new events."""
+    return current.unionByName(delta).distinct()
+
+
+def active_clients(clients: DataFrame, months: int = 3) -> DataFrame:
+    """Distinct clients of each period of `months` months, by its first and last month.
+
+    Clients are made distinct by period before they are counted, so both steps combine in each
+    task, and a period that most clients fall into is not one task's work.
+    """
+    place = F.col("date").substr(1, 4).cast("int") * 12 + F.col("date").substr(5, 2).cast("int") - 1
+    period = F.floor(place / months) * months
+    label = lambda m: F.concat(F.lpad(F.floor(m / 12).cast("string"), 4, "0"), F.lpad((m % 12 + 1).cast("string"), 2, "0"))
+    counted = clients.select(period.alias("_period"), "ip").distinct().groupBy("_period").agg(F.count("ip").alias("active_cnt"))
+    return counted.select(
+        label(F.col("_period")).alias("first"), label(F.col("_period") + months - 1).alias("last"), "active_cnt"
+    )
+
+
+#: Registers of a client sketch, as a power of two: a standard error of about 1.04 / 2^(n/2), 1.6 %.
+SKETCH_BITS = 12
+
+
+def sketch_clients(clients: DataFrame) -> DataFrame:
+    """One sketch {date, sketch} of a few kilobytes for the clients of each month."""
+    return clients.groupBy("date").agg(F.hll_sketch_agg("ip", SKETCH_BITS).alias("sketch"))
+
+
+def estimated_clients(sketches: DataFrame, first: str, last: str) -> DataFrame:
+    """About how many distinct clients the months from `first` to `last` have, from their sketches."""
+    within = sketches.filter(F.col("date").between(first, last))
+    return within.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("active_cnt"))
+
+
 def merge_counts(current: DataFrame, delta: DataFrame) -> DataFrame:
     """Add new counts to a counter table of any of the three kinds."""
     keys = [c for c in current.columns if c != "cnt"]
