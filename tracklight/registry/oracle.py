@@ -118,7 +118,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
         SELECT event_id AS push_id, '10.0.0.' || user_id AS target_ip, ts AS sent_at
-        FROM events WHERE event_type = 'purchase'""",
+        FROM events WHERE event_type IN ('purchase', 'click')""",
     ),
     "messages": (
         (),
@@ -177,9 +177,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "links": (
         ("link_urls",),
         """
-        SELECT page_id AS pos, url, 'c' || (page_id % 4) AS category,
+        SELECT page_id * 2 AS pos, url, 'c' || (page_id % 4) AS category,
           'page ' || page_id AS description, NULL::VARCHAR AS linkimage
-        FROM (SELECT page_id, page_id * 3 AS n FROM pages) JOIN link_urls USING (n)""",
+        FROM (SELECT page_id, page_id * 3 AS n FROM pages) JOIN link_urls USING (n)
+        UNION ALL
+        SELECT min(page_id) * 2 + 1, url, 'own', 'page ' || min(page_id), NULL
+        FROM pages WHERE url IS NOT NULL GROUP BY url""",
     ),
     # The URL made from a number, for all numbers in use.
     "link_urls": (
@@ -195,8 +198,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "candidates": (
         ("link_urls",),
         """
-        SELECT doc_id AS pos, url, source AS category, {key} AS key
-        FROM documents JOIN link_urls ON n = doc_id""",
+        SELECT *, {key} AS key FROM (
+          SELECT doc_id * 2 AS pos, url, source AS category FROM documents JOIN link_urls ON n = doc_id
+          UNION ALL
+          SELECT page_id * 2 + 1, CASE WHEN page_id % 2 = 0 THEN regexp_replace(url, '/[^/]*$', '')
+            ELSE url || '/more' END, 'page' FROM pages)""",
     ),
     "link_changes": (
         ("link_urls",),
@@ -389,11 +395,12 @@ ORACLE["issue_list_page"] = _sql(
     ORDER BY priority_idx DESC NULLS FIRST, issue_idx LIMIT 50 OFFSET 150""",
 )
 ORACLE["issue_list_nested"] = _sql(
-    "staged",
-    """SELECT p.issue_idx, p.createdate, w.progress_idx, w.status_idx, w.startdate, w.completedate
-    FROM (SELECT issue_idx, createdate FROM staged WHERE deletedate IS NULL
-          ORDER BY createdate DESC NULLS FIRST, issue_idx LIMIT 100 OFFSET 100) p
-    JOIN workflow w USING (issue_idx)""",
+    "issues workflow",
+    """SELECT issue_idx, createdate, progress_idx, status_idx, startdate, completedate
+    FROM (SELECT i.issue_idx, i.createdate, w.progress_idx, w.status_idx, w.startdate, w.completedate,
+            dense_rank() OVER (ORDER BY i.createdate DESC NULLS FIRST, i.issue_idx) AS place
+          FROM issues i JOIN workflow w ON w.issue_idx = i.issue_idx WHERE i.deletedate IS NULL)
+    WHERE place BETWEEN 101 AND 200""",
 )
 ORACLE["issue_list_ascending"] = _sql(
     "staged",
@@ -423,16 +430,14 @@ ORACLE["nested_workflow"] = _sql(
     """SELECT issue_idx, (row_number() OVER (PARTITION BY issue_idx ORDER BY progress_idx) - 1)::INT
       AS pos, progress_idx, status_idx, startdate, completedate FROM workflow""",
 )
-_RELEASED = "w.progress_idx = 7 AND w.status_idx = 3 AND w.completedate IS NOT NULL"
+_RELEASED = "progress_idx = 7 AND status_idx = 3 AND completedate IS NOT NULL"
 ORACLE["qa_start"] = _sql(
-    "issues workflow",
-    f"""SELECT w.issue_idx, w.startdate, w.completedate, q.startdate AS qa_startdate
-    FROM (SELECT w.* FROM issues i JOIN workflow w USING (issue_idx) WHERE {_RELEASED}) w
-    LEFT JOIN (SELECT issue_idx, startdate FROM workflow WHERE progress_idx = 6) q
-      ON q.issue_idx = w.issue_idx""",
+    "workflow",
+    f"""SELECT issue_idx, max(startdate) FILTER ({_RELEASED}) AS startdate,
+      max(completedate) FILTER ({_RELEASED}) AS completedate,
+      max(startdate) FILTER (progress_idx = 6) AS qa_startdate
+    FROM workflow GROUP BY issue_idx HAVING count(*) FILTER ({_RELEASED}) > 0""",
 )
-for _name in ("issue_list_nested", "qa_start"):  # workflow is read twice, so it is made once
-    ORACLE[_name] = ORACLE[_name].replace("workflow AS (", "workflow AS MATERIALIZED (")
 ORACLE["issue_json_rows"] = _sql(
     "issues",
     """SELECT json_object('issue_idx', issue_idx, 'issue_number', issue_number, 'issue_subject',
@@ -897,3 +902,89 @@ SELECT ip, count(*) AS connections FROM live WHERE closed_at IS NULL GROUP BY ip
 ORACLE["stream_memo_expiry"] = _sql(
     "memos", f'SELECT pos, key, title, datetime, "autoDelete" FROM memos WHERE {_EXPIRED}'
 )
+
+_FAILED = f"""SELECT p.event_id AS push_id, p.ip AS target_ip, p.ts AS sent_at
+FROM service p WHERE NOT p.connects AND NOT p.closes AND NOT EXISTS (SELECT 1 FROM live c
+  WHERE c.ip = p.ip AND c.connected_at <= p.ts AND (c.closed_at IS NULL OR p.ts < c.closed_at))"""
+for _name in ("stream_usage_counts", "stream_delivery", "stream_connections", "stream_memo_expiry"):
+    ORACLE[f"{_name}_files"] = ORACLE[_name]
+ORACLE["stream_delivery_files"] += f""" UNION ALL
+SELECT *, NULL FROM ({_FAILED})"""
+ORACLE["stream_expired_memos_files"] = _sql(
+    "memos", f'SELECT pos, key, title, datetime, "autoDelete" FROM memos WHERE NOT {_EXPIRED}'
+)
+
+# -- stored indexes and snapshots --------------------------------------------------------------
+
+ORACLE["issue_list_deep_page"] = _sql(
+    "staged",
+    """SELECT row_number() OVER (ORDER BY issue_tag DESC NULLS FIRST, issue_idx) - 1 AS position,
+      issue_idx, issue_tag
+    FROM (SELECT issue_idx, issue_tag FROM staged WHERE deletedate IS NULL
+          ORDER BY issue_tag DESC NULLS FIRST, issue_idx LIMIT 50 OFFSET 1200)""",
+)
+for _name, _where in {
+    "search_subject": "(issue_subject ILIKE '%LOW order 1%' OR issue_assigned_to ILIKE '%LOW order 1%')",
+    "search_wildcards": "(issue_subject ILIKE '%t order 1_%7%' OR issue_assigned_to ILIKE '%t order 1_%7%')",
+    "search_number": "(issue_subject ILIKE '%user3%' OR issue_assigned_to ILIKE '%user3%') AND issue_number LIKE '%10%'",
+}.items():
+    ORACLE[_name] = _sql(
+        "issues",
+        f"""SELECT issue_idx, issue_number, issue_subject, issue_assigned_to FROM issues
+        WHERE deletedate IS NULL AND {_where}""",
+    )
+_AFTER = ORACLE["update_workflow"]
+ORACLE["report_summary_refreshed"] = f"""WITH moved AS ({_AFTER}),
+current AS ({_sql("issues", "SELECT * FROM issues")})
+SELECT i.category_idx, i.progress_idx, i.priority_idx, count(*) AS count,
+  count(*) FILTER (w.status_idx IN (0, 1)) AS waiting, count(*) FILTER (w.status_idx = 2) AS in_progress,
+  count(*) FILTER (w.status_idx = 3) AS done
+FROM current i JOIN moved w USING (issue_idx, progress_idx)
+WHERE i.deletedate IS NULL AND i.issue_number <> '임시' AND i.progress_idx <> 1 AND i.priority_idx IN {P}
+GROUP BY ALL"""
+ORACLE["tag_counts_refreshed"] = f"""WITH changed AS ({ORACLE["update_issues"]}),
+current AS ({_sql("issues", "SELECT issue_idx, deletedate FROM issues")})
+SELECT issue_tag AS value, count(*) AS count FROM changed JOIN current USING (issue_idx)
+WHERE deletedate IS NULL AND issue_tag <> '' GROUP BY issue_tag"""
+ORACLE["memo_snapshots"] = ORACLE["apply_memo_changes"]
+ORACLE["documents_round_trip"] = _sql("links", "SELECT * FROM links")
+ORACLE["table_round_trip"] = _sql("workflow", "SELECT * FROM workflow")
+
+
+def _moment(column: str) -> str:
+    """A moment as JSON writes it, or null."""
+    return f"""coalesce('"' || strftime({column}, '%Y-%m-%dT%H:%M:%S.%g') || '"', 'null')"""
+
+
+ORACLE["issue_json_nested"] = _sql(
+    "issues workflow",
+    f"""SELECT '{{"issue_idx":' || issue_idx || ',"issue_subject":"' || i.issue_subject || '","createdate":'
+      || {_moment("i.createdate")} || ',"workflow":[' || string_agg('{{"issue_idx":' || issue_idx
+      || ',"progress_idx":' || w.progress_idx || ',"status_idx":' || coalesce(w.status_idx::VARCHAR, 'null')
+      || ',"startdate":' || {_moment("w.startdate")} || ',"completedate":' || {_moment("w.completedate")}
+      || '}}', ',' ORDER BY w.progress_idx) || ']}}' AS json
+    FROM issues i JOIN workflow w USING (issue_idx) GROUP BY issue_idx, i.issue_subject, i.createdate""",
+)
+ORACLE["send_pushes"] = _sql(
+    "messages connections",
+    f"""SELECT connection_id, id, target_ip, json_object('id', id, 'type', coalesce(nullif(type, ''), 'default'),
+      'title', title, 'message', message, 'url',
+      '/push-popup?ip=' || target_ip || '&newPushId=' || id)::VARCHAR AS payload
+    FROM (SELECT p.*, c.id AS connection_id, dense_rank() OVER (ORDER BY event_type = 'purchase', seq) AS id
+      FROM (SELECT m.*, e.ts AS sent_at, e.event_type FROM messages m JOIN events e ON e.event_id = m.seq) p
+      JOIN connections c ON {_IS_OPEN})""",
+)
+ORACLE["active_clients"] = _sql(
+    "usage",
+    """SELECT strftime(q, '%Y%m') AS first, strftime(q + INTERVAL 2 MONTH, '%Y%m') AS last, active_cnt
+    FROM (SELECT date_trunc('quarter', strptime(date, '%Y%m'))::TIMESTAMP AS q, count(DISTINCT ip) AS active_cnt
+      FROM usage GROUP BY 1)""",
+)
+ORACLE["memo_usage_counts"] = f"""WITH refused AS ({ORACLE["rejected_memo_changes"]}),
+used AS ({_sql("actions", "SELECT * FROM actions")}),
+saved AS (
+  SELECT strftime(ts, '%Y%m') AS date, '10.0.0.' || user_id AS ip, 'memo' AS action FROM events
+  WHERE event_type IN ('click', 'view', 'purchase') AND event_id NOT IN (SELECT seq FROM refused))
+SELECT date, ip, action, sum(cnt)::BIGINT AS cnt FROM (
+  SELECT date, ip, action, cnt FROM used
+  UNION ALL SELECT date, ip, action, count(*) FROM saved GROUP BY ALL) GROUP BY ALL"""

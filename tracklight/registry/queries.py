@@ -8,10 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import changes, filters, links, listing, memos, notifications, reports, stages, usage
+from ..operators import (
+    changes,
+    deltas,
+    filters,
+    links,
+    listing,
+    memos,
+    notifications,
+    paging,
+    reports,
+    search,
+    stages,
+    usage,
+)
 from ..operators.filters import IssueFilter
+from .. import schemas
 from ..session import shared_dir
 from ..sources import attachments, tables
+from ..sources.snapshots import Snapshots
 from ..streaming import jobs
 from . import views as v
 
@@ -609,3 +624,165 @@ def stream_memo_expiry(spark, d):
     feed = v.as_memos(_stream(spark, d, "conversations"))
     jobs.stream_memo_expiry(feed, path, lambda _: v.MEMO_CLOCK, True).awaitTermination()
     return jobs.live_memos(spark, path).select("pos", "key", "title", "datetime", "autoDelete")
+
+
+def _files(spark, d, name, key, n=3):
+    """The given table as a stream of n files, one a batch, whose rows are in no order of time."""
+    path = shared_dir(spark, f"{name}-files")
+    v.table(spark, d, name).repartition(n, key).write.parquet(path)
+    return tables.read_usage_stream(spark, path, schema=v.given_schema(name), max_files=1)
+
+
+@register
+def stream_usage_counts_files(spark, d):
+    path = shared_dir(spark, "usage")
+    feed = v.usage_feed(_files(spark, d, "events", "event_id"))
+    jobs.stream_usage_counts(feed, path, available_now=True).awaitTermination()
+    return jobs.usage_counts(spark, path)
+
+
+@register
+def stream_delivery_files(spark, d):
+    """Each push with the connections it reaches, and those that reach none with no connection."""
+    path = shared_dir(spark, "delivery")
+    feed = v.service_events(_files(spark, d, "events", "event_id", 2))
+    jobs.stream_delivery(feed, path, available_now=True).awaitTermination()
+    missed = jobs.failed(spark, path).withColumn("connection_id", F.lit(None).cast("long"))
+    return jobs.delivered(spark, path).unionByName(missed)
+
+
+@register
+def stream_connections_files(spark, d):
+    path = shared_dir(spark, "connections")
+    feed = v.service_events(_files(spark, d, "events", "event_id"))
+    jobs.stream_connections(feed, path, available_now=True).awaitTermination()
+    return jobs.connected_clients(spark, path)
+
+
+@register
+def stream_memo_expiry_files(spark, d):
+    path = shared_dir(spark, "memos")
+    feed = v.as_memos(_files(spark, d, "conversations", "conv_id"))
+    jobs.stream_memo_expiry(feed, path, v.memo_clock, True).awaitTermination()
+    return jobs.live_memos(spark, path).select("pos", "key", "title", "datetime", "autoDelete")
+
+
+@register
+def stream_expired_memos_files(spark, d):
+    path = shared_dir(spark, "memos")
+    feed = v.as_memos(_files(spark, d, "conversations", "conv_id"))
+    jobs.stream_memo_expiry(feed, path, v.memo_clock, True).awaitTermination()
+    return jobs.expired_memos(spark, path).select("pos", "key", "title", "datetime", "autoDelete")
+
+
+# -- stored indexes and snapshots, and what is kept up to date from them -----------------------
+
+
+@register
+def issue_list_deep_page(spark, d):
+    """A page far down an order with many ties and missing values, found by the directory."""
+    rows = listing.listed_issues(v.issues(spark, d), v.workflow(spark, d), None, "descend", "issue_tag")
+    path = shared_dir(spark, "directory")
+    paging.page_directory(rows, "descend", "issue_tag", range_rows=500).write.parquet(path)
+    page = paging.directory_page(rows, spark.read.parquet(path), "descend", "issue_tag", page=25, size=50)
+    return _numbered(page).select("position", "issue_idx", "issue_tag")
+
+
+def _search(text_=None, number=None) -> Query:
+    def query(spark, d):
+        path, issues = shared_dir(spark, "search"), v.issues(spark, d)
+        search.write_index(issues, path)
+        found = search.search_issues(issues, path, text_, number)
+        return found.select("issue_idx", "issue_number", "issue_subject", "issue_assigned_to")
+
+    return query
+
+
+QUERIES["search_subject"] = _search("LOW order 1")
+QUERIES["search_wildcards"] = _search("t order 1_%7")
+QUERIES["search_number"] = _search("user3", "10")
+
+
+def _changed(spark, d):
+    """Issues and workflow of the touched issues, before and after the changes of their stages."""
+    moved = v.workflow_changes(spark, d)
+    touched = moved.select("issue_idx").distinct()
+    issues, workflow = (deltas.touched_rows(t, touched) for t in (v.issues(spark, d), v.workflow(spark, d)))
+    after, stamped = changes.update_workflow(workflow, issues, moved, AS_OF)
+    return (issues, workflow), (stamped, after)
+
+
+@register
+def report_summary_refreshed(spark, d):
+    """The stored summary with what the changes of stages take away and bring."""
+    path = shared_dir(spark, "summary")
+    reports.report_summary(v.issues(spark, d), v.workflow(spark, d), PRIORITIES).write.parquet(path)
+    return deltas.refresh_summary(spark.read.parquet(path), *_changed(spark, d), PRIORITIES)
+
+
+@register
+def tag_counts_refreshed(spark, d):
+    """The stored counts of tags with what new tags take away and bring."""
+    path, edits = shared_dir(spark, "tags"), v.issue_changes(spark, d)
+    reports.tag_counts(v.issues(spark, d)).select("value", "count").write.parquet(path)
+    before = deltas.touched_rows(v.issues(spark, d), edits)
+    return deltas.refresh_tags(spark.read.parquet(path), before, changes.update_issues(before, edits, AS_OF))
+
+
+@register
+def memo_snapshots(spark, d):
+    """Memos published, changed and published again, then read by the latest pointer."""
+    shelf = Snapshots(spark, shared_dir(spark, "memo-snapshots"), schemas.MEMOS)
+    first = shelf.replace(v.memos(spark, d))
+    changed, _ = memos.apply_memo_changes(shelf.read(), v.memo_changes(spark, d))
+    shelf.write(shelf.read().limit(1))  # of a writer that died before it published
+    shelf.replace(changed, based_on=first)
+    return shelf.read()
+
+
+@register
+def documents_round_trip(spark, d):
+    """Links written as JSON documents and read back."""
+    path = f"{shared_dir(spark, 'documents')}/links"
+    tables.write_documents(v.links(spark, d), path)
+    return tables.read_documents(spark, path, schemas.LINKS, layout="lines")
+
+
+@register
+def table_round_trip(spark, d):
+    """The workflow written as a table and scanned with its declared schema."""
+    path = f"{shared_dir(spark, 'tables')}/workflow"
+    tables.write_table(v.workflow(spark, d), path)
+    return tables.read_table(spark, "workflow", path)
+
+
+@register
+def issue_json_nested(spark, d):
+    """Issues with their times and stages as JSON rows."""
+    rows = stages.with_workflow(v.issues(spark, d).select("issue_idx", "issue_subject", "createdate"), v.workflow(spark, d))
+    return tables.to_json_rows(rows.select("issue_idx", "issue_subject", "createdate", "workflow"))
+
+
+@register
+def send_pushes(spark, d):
+    """Two batches of messages, the second sent again after a failure, with the ids they are stored under."""
+    path, connections = shared_dir(spark, "notifications"), v.connections(spark, d)
+    timed = v.timed_messages(spark, d)
+    first = notifications.send_pushes(timed.filter("NOT is_later"), connections, path, 0, AS_OF)[0]
+    for _ in range(2):
+        second = notifications.send_pushes(timed.filter("is_later"), connections, path, 1, AS_OF)[0]
+    return first.unionByName(second)
+
+
+@register
+def active_clients(spark, d):
+    """Distinct clients of each quarter, from the clients of its months."""
+    return usage.active_clients(usage.count_clients(v.usage_events(spark, d)))
+
+
+@register
+def memo_usage_counts(spark, d):
+    """Saved memos counted as usage, together with the actions of the feed."""
+    saves = v.memo_changes(spark, d).join(v.memo_writers(spark, d), "seq")
+    _, rejected = memos.apply_memo_changes(v.memos(spark, d), v.memo_changes(spark, d))
+    return usage.merge_counts(v.actions(spark, d), usage.count_actions(memos.memo_usage(saves, rejected)))

@@ -378,6 +378,27 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with the moment they are sent, those of purchases in a later batch."""
+    events = table(spark, sf_dir, "events")
+    sent = events.select(
+        F.col("event_id").alias("seq"), F.col("ts").alias("sent_at"), (F.col("event_type") == "purchase").alias("is_later")
+    )
+    return messages(spark, sf_dir).join(sent, "seq")
+
+
+def memo_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who made each memo change, and when."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), _text("10.0.0.", F.col("user_id")).alias("ip"), "ts"
+    )
+
+
+def memo_clock(batch_id: int) -> str:
+    """The clock of a memo stream: an hour before `MEMO_CLOCK` at first, then that."""
+    return "2024-01-01 05:00:00" if batch_id == 0 else MEMO_CLOCK
+
+
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     events = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "view"))
@@ -390,7 +411,7 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+    events = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "click"))
     return events.select(
         F.col("event_id").alias("push_id"),
         _text("10.0.0.", F.col("user_id")).alias("target_ip"),
@@ -411,20 +432,40 @@ def _link_url(n: Column) -> Column:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made URL for each page, and the URLs of the pages themselves."""
     n = F.col("page_id")
-    return table(spark, sf_dir, "pages").select(
-        n.alias("pos"),
+    pages = table(spark, sf_dir, "pages")
+    made = pages.select(
+        (n * 2).alias("pos"),
         _link_url(n * 3).alias("url"),
         _text("c", n % 4).alias("category"),
         _text("page ", n).alias("description"),
         F.lit(None).cast("string").alias("linkimage"),
     )
+    own = pages.filter("url IS NOT NULL").groupBy("url").agg(F.min(n).alias("page_id"))
+    return made.unionByName(
+        own.select(
+            (n * 2 + 1).alias("pos"),
+            "url",
+            F.lit("own").alias("category"),
+            _text("page ", n).alias("description"),
+            F.lit(None).cast("string").alias("linkimage"),
+        )
+    )
 
 
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("doc_id")
+    """Made URLs, and of the URLs of pages what stands before the last slash, or some that go on."""
+    n, page = F.col("doc_id"), F.col("page_id")
+    above = F.regexp_replace("url", "/[^/]*$", "")
     return table(spark, sf_dir, "documents").select(
-        n.alias("pos"), _link_url(n).alias("url"), F.col("source").alias("category")
+        (n * 2).alias("pos"), _link_url(n).alias("url"), F.col("source").alias("category")
+    ).unionByName(
+        table(spark, sf_dir, "pages").select(
+            (page * 2 + 1).alias("pos"),
+            F.when(page % 2 == 0, above).otherwise(F.concat("url", F.lit("/more"))).alias("url"),
+            F.lit("page").alias("category"),
+        )
     )
 
 

@@ -21,8 +21,7 @@ from ..functions.dates import month_key, ntz, wall_seconds
 from ..operators.memos import LIFETIME_HOURS, expire_memos
 from ..operators.notifications import deliverable
 from ..operators.usage import LINK_ACTION
-from ..session import ensure_checkpoint_dir
-from .runs import RunLog
+from .runs import RunLog, Scratch
 
 CONNECT, CLOSE, PUSH = "connect", "close", "push"
 
@@ -273,31 +272,28 @@ def _known(log: RunLog, events: DataFrame, batch_id: int) -> DataFrame:
     return rows.filter(F.col("id").between(low, high)).join(ids.distinct(), "id", "left_semi")
 
 
-def _settled(old: DataFrame, new: DataFrame, pushes: DataFrame) -> DataFrame | None:
+def _settled(old: DataFrame, new: DataFrame, pushes: DataFrame, scratch: Scratch) -> DataFrame | None:
     """Deliveries of earlier pushes that changed connections add (times 1) and take back (-1)."""
-    was = old.select("id", *[F.col(c).alias(f"_{c}") for c in ("ip", "connected_at", "closed_at")])
     fields = ("ip", "connected_at", "closed_at")
+    was = old.select("id", *[F.col(c).alias(f"_{c}") for c in fields])
     same = F.lit(True)
     for c in fields:
         same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    changed = new.join(was, "id", "left").filter(~same).persist()
-    try:
-        moved = ~(F.col("ip").eqNullSafe(F.col("_ip")) & F.col("connected_at").eqNullSafe(F.col("_connected_at")))
-        begins = F.when(moved, F.col("connected_at")).otherwise(F.least("closed_at", "_closed_at"))
-        start = changed.agg(F.min(begins)).first()[0]
-        if start is None:
-            return None
-        late = pushes.filter(F.col("sent_at") >= F.lit(start)).join(
-            changed.select(F.explode(F.array("ip", "_ip")).alias("target_ip")).distinct(), "target_ip", "left_semi"
-        ).select(*schemas.PUSHES.names)
-        if late.isEmpty():
-            return None
-        now = deliverable(late, changed.select("id", *fields)).withColumn("times", F.lit(1).cast("long"))
-        before = changed.filter(F.col("_connected_at").isNotNull()).select("id", *[F.col(f"_{c}").alias(c) for c in fields])
-        then = deliverable(late, before).withColumn("times", F.lit(-1).cast("long"))
-        return _fold_pairs(now.unionByName(then)).checkpoint()
-    finally:
-        changed.unpersist()
+    changed = scratch.keep(new.join(was, "id", "left").filter(~same), "changed")
+    moved = ~(F.col("ip").eqNullSafe(F.col("_ip")) & F.col("connected_at").eqNullSafe(F.col("_connected_at")))
+    begins = F.when(moved, F.col("connected_at")).otherwise(F.least("closed_at", "_closed_at"))
+    start = changed.agg(F.min(begins)).first()[0]
+    if start is None:
+        return None
+    clients = changed.select(F.explode(F.array("ip", "_ip")).alias("target_ip")).distinct()
+    late = pushes.filter(F.col("sent_at") >= F.lit(start)).join(clients, "target_ip", "left_semi")
+    late = scratch.keep(late.select(*schemas.PUSHES.names), "late")
+    if late.isEmpty():
+        return None
+    now = deliverable(late, changed.select("id", *fields)).withColumn("times", F.lit(1).cast("long"))
+    before = changed.filter(F.col("_connected_at").isNotNull()).select("id", *[F.col(f"_{c}").alias(c) for c in fields])
+    then = deliverable(late, before).withColumn("times", F.lit(-1).cast("long"))
+    return _fold_pairs(now.unionByName(then))
 
 
 def stream_delivery(
@@ -315,50 +311,46 @@ def stream_delivery(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ensure_checkpoint_dir(spark)
         connections, pushes, pairs = (make(spark, path) for make in (_connection_log, _push_log, _pair_log))
         batch.persist()
-        new = None
         try:
-            sent = batch.filter(F.col("kind") == PUSH).select(
-                "push_id", F.col("ip").alias("target_ip"), F.col("ts").alias("sent_at")
-            )
-            own = _as_rows(*_intervals(*_made_and_ended(batch)))
-            is_made = F.col("connected_at").isNotNull()
-            if batch_id == 0:
-                new = own.persist()
-                connections.write(new, batch_id)
-                open_then, settled = new.filter(is_made), None
-            else:
-                known = _known(connections, batch.filter(F.col("kind") != PUSH), batch_id)
-                new = _fold_connections(own.unionByName(known)).persist()
+            with Scratch(spark, path, batch_id) as scratch:
+                sent = batch.filter(F.col("kind") == PUSH).select(
+                    "push_id", F.col("ip").alias("target_ip"), F.col("ts").alias("sent_at")
+                )
+                own = scratch.keep(_as_rows(*_intervals(*_made_and_ended(batch))), "own")
                 connections.write(own, batch_id)
-                old = _fold_connections(known).filter(is_made)
-                settled = _settled(old, new.filter(is_made), pushes.read(batch_id - 1))
-                first = sent.agg(F.min("sent_at")).first()[0]
-                if first is None:
-                    others = new.limit(0)
-                else:
-                    rows = connections.rows(batch_id - 1).join(new.select("id"), "id", "left_anti")
-                    clients = sent.select(F.col("target_ip").alias("ip")).distinct()
-                    met = rows.join(clients, "ip", "left_semi").select("id").distinct()
-                    # An end is never taken back, so what had closed before the first push stays out.
-                    others = _fold_connections(rows.join(met, "id", "left_semi")).filter(
-                        F.col("closed_at").isNull() | (F.col("closed_at") > F.lit(first))
-                    )
-                open_then = new.unionByName(others.select(*new.columns)).filter(is_made)
-            made = deliverable(sent, open_then).withColumn("times", F.lit(1).cast("long"))
-            pairs.write(made if settled is None else made.unionByName(settled), batch_id)
-            pushes.write(sent, batch_id)
-            _commit(spark, path, batch_id)
+                is_made = F.col("connected_at").isNotNull()
+                open_then, settled = own.filter(is_made), None
+                if batch_id > 0:
+                    known = _known(connections, batch.filter(F.col("kind") != PUSH), batch_id)
+                    old = scratch.keep(_fold_connections(known), "old")
+                    new = scratch.keep(_fold_connections(own.unionByName(old)), "new")
+                    settled = _settled(old.filter(is_made), new.filter(is_made), pushes.read(batch_id - 1), scratch)
+                    others = _others(connections.rows(batch_id - 1), new, sent)
+                    open_then = scratch.keep(new.unionByName(others).filter(is_made), "open")
+                made = deliverable(sent, open_then).withColumn("times", F.lit(1).cast("long"))
+                pairs.write(made if settled is None else made.unionByName(settled), batch_id)
+                pushes.write(sent, batch_id)
+                _commit(spark, path, batch_id)
         finally:
             batch.unpersist()
-            if new is not None:
-                new.unpersist()
 
     return _start(events, "append", path, handle, available_now)
 
 
+def _others(rows: DataFrame, touched: DataFrame, sent: DataFrame) -> DataFrame:
+    """Connections that a batch does not touch but may deliver to: those of its pushes' clients."""
+    rows = rows.join(touched.select("id"), "id", "left_anti")
+    clients = sent.select(F.col("target_ip").alias("ip")).distinct()
+    met = rows.join(clients, "ip", "left_semi").select("id").distinct()
+    known = _fold_connections(rows.join(met, "id", "left_semi"))
+    # An end is never taken back, so what had closed before the first push stays out.
+    first = sent.agg(F.min("sent_at")).scalar()
+    still_open = F.col("closed_at").isNull() | (F.col("closed_at") > first)
+    return known.filter(still_open).select(*touched.columns)
+
+
 def delivered(spark: SparkSession, path: str) -> DataFrame:
     """Pushes with the connections that they reach, by the events of all finished batches."""
     pairs = _pair_log(spark, path).read(last_batch(spark, path))

@@ -20,6 +20,29 @@ from pyspark.sql import types as T
 TOP = 10
 
 
+def remove(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder with all that is in it; False if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Intermediate tables of one batch, written and read back so that plans stay short."""
+
+    def __init__(self, spark: SparkSession, path: str, batch_id: int):
+        self.spark, self.folder = spark, f"{path}/scratch/batch={batch_id}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, rows: DataFrame, name: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.folder)
+
+
 def _ends(batches: int) -> list[tuple[int, int]]:
     """(level, last batch) of the runs that hold the first `batches` batches, oldest first."""
     top = [(TOP, (i + 1 << TOP) - 1) for i in range(batches >> TOP)]
@@ -95,6 +118,5 @@ class RunLog:
             for status in files.listStatus(folder) if files.exists(folder) else []:
                 end = int(status.getPath().getName().removeprefix("run="))
                 if end <= last and (level, end) not in kept:
-                    files.delete(status.getPath(), True)
-                    removed += 1
+                    removed += remove(self.spark, status.getPath().toString())
         return removed
