@@ -6,10 +6,16 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tracklight import schemas
+from tracklight.operators import reports, stages
+from tracklight.registry import views as v
 from tracklight.session import shared_dir
 from tracklight.sources import attachments, tables
 
 
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
 def test_documents(spark, tmp_path):
     assert tables.read_documents(spark, str(tmp_path / "none.json"), schemas.LINKS).count() == 0
     path = tmp_path / "links.json"
@@ -58,32 +64,30 @@ def test_scan_reads_what_is_needed(spark):
     assert df.columns
 
 
-def test_bucketed_tables_join_without_a_shuffle(spark, frame, tmp_path):
-    from tracklight.operators import stages
-
-    issues = frame(schemas.ISSUES, [{"issue_idx": i, "progress_idx": 1} for i in range(50)])
-    flow = frame(schemas.WORKFLOW, [{"issue_idx": i, "progress_idx": 1} for i in range(50)])
-    tables.write_bucketed(issues, "bucketed_issues", str(tmp_path / "i"), 4)
-    tables.write_bucketed(flow, "bucketed_workflow", str(tmp_path / "w"), 4)
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.requireAllClusterKeysForCoPartition": "false",
-        "spark.sql.requireAllClusterKeysForDistribution": "false",
-    }
-    before = {key: spark.conf.get(key) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
+def test_bucketed_tables_need_no_shuffle(spark, tmp_path):
+    data = "/root/testdata/sf0.001"
+    plain = v.issues(spark, data), v.workflow(spark, data)
+    for name, df in zip(("bucketed_issues", "bucketed_workflow"), plain):
+        tables.write_bucketed(df, name, str(tmp_path / name), 4)
+    stored = spark.table("bucketed_issues"), spark.table("bucketed_workflow")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = stages.with_current_stage(spark.table("bucketed_issues"), spark.table("bucketed_workflow"))
-        assert joined.count() == 50
-        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        below = lambda df: str(df._jdf.queryExecution().executedPlan()).split("Join", 1)[-1]
+        joined = stages.with_current_stage(*stored, bucketed=True)
+        nested = stages.nest_workflow(stored[1])
+        for df in (joined, nested, reports.report_summary(*stored, [0, 1], bucketed=True)):
+            assert "Exchange" not in below(df) or df is nested
+        assert "Exchange" not in str(nested._jdf.queryExecution().executedPlan())
+        assert rows(joined.select("issue_idx", "status_idx")) == rows(stages.with_current_stage(*plain).select("issue_idx", "status_idx"))
+        for report, more in ((reports.report_summary, ([0, 1, 2, 3],)), (reports.stage_counts, ()), (reports.stalled_by_stage, ([0, 1], v.AS_OF))):
+            assert rows(report(*stored, *more, bucketed=True)) == rows(report(*plain, *more))
     finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE bucketed_issues")
         spark.sql("DROP TABLE bucketed_workflow")
 
 
+
 def test_attachments(spark, tmp_path):
     assert attachments.read_attachments(spark, str(tmp_path / "none")).count() == 0
     for name in ("issues/5/a.png", "issues/5/.emptyFolderPlaceholder", "issues/6/b.JPG", "other/c.txt"):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_login_link, link_key
 from ..plans.intervals import LEVEL, PIECE, with_interval_pieces, with_point_pieces
-from ..plans.scans import running
+from ..plans.scans import running, spread
 from ..plans.successors import with_next
 from ..session import ensure_checkpoint_dir
 from .memos import ADD, DELETE, EDIT, NO_SUCH_DELETE, NO_SUCH_EDIT
@@ -153,9 +153,9 @@ def _judge_adds(links: DataFrame, changes: DataFrame) -> DataFrame:
         facing = asked.select("seq", F.col("own").alias("key")).join(
             present.select("key").distinct(), "key", "left_semi"
         )
-        met = with_point_pieces(facing, seq, F.sequence(F.lit(0), F.lit(levels))).join(
-            present.select("key", LEVEL, PIECE).distinct(), ["key", LEVEL, PIECE], "left_semi"
-        )
+        pieces = ["key", LEVEL, PIECE]
+        points = spread(with_point_pieces(facing, seq, F.sequence(F.lit(0), F.lit(levels))), *pieces)
+        met = points.join(spread(present.select(*pieces), *pieces), pieces, "left_semi")
         free = asked.join(met.select("seq").distinct(), "seq", "left_anti").checkpoint()
 
         # The first free add of the key after each delete; a stay ends just after its delete.

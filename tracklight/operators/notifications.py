@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import text
 from ..functions.dates import ntz, wall_micros, wall_minutes
 from ..plans.intervals import LEVEL, PIECE, with_interval_pieces, with_point_pieces
-from ..plans.scans import BLOCK, row_numbers, running
+from ..plans.scans import BLOCK, row_numbers, running, spread
 from ..schemas import NOTIFICATIONS
 
 # Fixed value: length of an inbox.
@@ -179,8 +179,9 @@ def deliverable(pushes: DataFrame, connections: DataFrame) -> DataFrame:
     client and a piece of time, so pairs that are not in the result are (but for those within one
     minute of an end) never formed, and one busy client spreads over many join keys.
     """
-    points, stays = _pieces(pushes, connections)
-    pairs = points.join(stays, ["target_ip", LEVEL, PIECE])
+    keys = ["target_ip", LEVEL, PIECE]
+    points, stays = (spread(side, *keys) for side in _pieces(pushes, connections))
+    pairs = points.join(stays, keys)
     return pairs.filter(_open_at("sent_at")).select(*pushes.columns, "connection_id")
 
 

@@ -62,14 +62,19 @@ def report_summary(
     start=None,
     end=None,
     as_of=None,
+    bucketed: bool = False,
 ) -> DataFrame:
-    """Waiting, running and done issues by category, current stage and priority."""
+    """Waiting, running and done issues by category, current stage and priority.
+
+    `bucketed`: see `with_current_stage`.
+    """
     status = F.col("status_idx")
     chosen = report_filter(reportable(issues), priorities, date_type, start, end, as_of)
     return (
         with_current_stage(
             chosen.select("issue_idx", "category_idx", "progress_idx", "priority_idx"),
             workflow.select("issue_idx", "progress_idx", "status_idx"),
+            bucketed,
         )
         .groupBy("category_idx", "progress_idx", "priority_idx")
         .agg(
@@ -85,10 +90,10 @@ def report_summary(
 
 
 def stage_counts(
-    issues: DataFrame, workflow: DataFrame, wanted: IssueFilter | None = None
+    issues: DataFrame, workflow: DataFrame, wanted: IssueFilter | None = None, bucketed: bool = False
 ) -> DataFrame:
     """One row: number of listed issues, in all and per current stage; NULLs if there are none."""
-    listed = filter_issues(with_current_stage(issues, workflow), wanted)
+    listed = filter_issues(with_current_stage(issues, workflow, bucketed), wanted)
     per_stage = [
         F.sum(F.when(F.col("progress_idx") == stage, 1).otherwise(0)).alias(str(stage))
         for stage in STAGES
@@ -192,7 +197,9 @@ def aged_open_issues(issues: DataFrame, priorities, as_of) -> DataFrame:
     )
 
 
-def stalled_by_stage(issues: DataFrame, workflow: DataFrame, priorities, as_of) -> DataFrame:
+def stalled_by_stage(
+    issues: DataFrame, workflow: DataFrame, priorities, as_of, bucketed: bool = False
+) -> DataFrame:
     """Unfinished issues per stage that never started or started 90 days ago or earlier."""
     started = F.col("startdate")
     stalled = workflow.filter(
@@ -202,7 +209,7 @@ def stalled_by_stage(issues: DataFrame, workflow: DataFrame, priorities, as_of)
     ).select("issue_idx", "progress_idx")
     chosen = with_priorities(reportable(issues), priorities).select("issue_idx", "progress_idx")
     return (
-        with_current_stage(chosen, stalled)
+        with_current_stage(chosen, stalled, bucketed)
         .groupBy("progress_idx")
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy("progress_idx")

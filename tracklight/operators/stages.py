@@ -21,9 +21,20 @@ def repeated_stages(workflow: DataFrame) -> DataFrame:
     return workflow.groupBy("issue_idx", "progress_idx").count().filter(F.col("count") > 1)
 
 
-def with_current_stage(issues: DataFrame, workflow: DataFrame) -> DataFrame:
-    """Each issue with the status and dates of the stage it is in; issues without it drop out."""
-    return issues.join(workflow, ["issue_idx", "progress_idx"], "inner")
+def with_current_stage(issues: DataFrame, workflow: DataFrame, bucketed: bool = False) -> DataFrame:
+    """Each issue with the status and dates of the stage it is in; issues without it drop out.
+
+    `bucketed` is for tables that are both bucketed by issue_idx: they are joined where they lie,
+    by issue_idx alone, and the stage is compared within an issue. Spark would shuffle them for a
+    join on both keys.
+    """
+    if not bucketed:
+        return issues.join(workflow, ["issue_idx", "progress_idx"], "inner")
+    stage, at = F.col("progress_idx"), F.col("_at")
+    named = workflow.withColumnRenamed("progress_idx", "_at")
+    # Two bounds, since an equality would become a key of the join.
+    meets = (issues["issue_idx"] == named["issue_idx"]) & (at <= stage) & (at >= stage)
+    return issues.join(named, meets, "inner").drop(named["issue_idx"]).drop("_at")
 
 
 def finished_stage(workflow: DataFrame, stage: int, status: int = DONE) -> DataFrame:

@@ -21,6 +21,15 @@ RANK_BUCKET_DIGITS = 3  # hex digits of the tie-breaking hash: 4,096 buckets
 _AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by all of `keys`.
+
+    Spark settles for rows that are dealt by some of the keys it needs, such as a client alone
+    where client and block are asked for. Then a hot client would be one task; this keeps it apart.
+    """
+    return df.repartition(*[F.col(k) for k in keys])
+
+
 def with_blocks(df: DataFrame, seq: str) -> DataFrame:
     """Add the block of each row as column `_block`."""
     return df.withColumn(BLOCK, F.shiftright(F.col(seq), BLOCK_BITS))
@@ -90,6 +99,8 @@ def running(
         .orderBy(seq)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
+    # Both sides by all keys, and the window over what that join leaves in place.
+    staged, starts = (spread(side, *keys, BLOCK) for side in (staged, starts))
     return staged.join(starts, [*keys, BLOCK]).select(
         *df.columns,
         *[
@@ -129,13 +140,14 @@ def ranked_by_count(df: DataFrame, keys: list[str], count: str, text: str, name:
     counts = counts.select(
         *keys, count, F.coalesce(F.sum("_n").over(before_count), F.lit(0)).alias("_above")
     )
-    starts = buckets.join(counts, [*keys, count]).select(
+    starts = spread(buckets, *keys, count).join(spread(counts, *keys, count), [*keys, count]).select(
         *keys,
         count,
         "_bucket",
         (F.col("_above") + F.coalesce(F.sum("_n").over(before_bucket), F.lit(0))).alias("_start"),
     )
     inside = Window.partitionBy(*keys, count, "_bucket").orderBy("_hash", text)
+    hashed, starts = (spread(side, *keys, count, "_bucket") for side in (hashed, starts))
     return hashed.join(starts, [*keys, count, "_bucket"]).select(
         *df.columns, (F.col("_start") + F.row_number().over(inside)).alias(name)
     )

@@ -946,6 +946,8 @@ ORACLE["tag_counts_refreshed"] = f"""WITH changed AS ({ORACLE["update_issues"]})
 current AS ({_sql("issues", "SELECT issue_idx, deletedate FROM issues")})
 SELECT issue_tag AS value, count(*) AS count FROM changed JOIN current USING (issue_idx)
 WHERE deletedate IS NULL AND issue_tag <> '' GROUP BY issue_tag"""
+for _name in ("report_summary", "stage_counts"):
+    ORACLE[f"{_name}_bucketed"] = ORACLE[_name]
 ORACLE["memo_snapshots"] = ORACLE["apply_memo_changes"]
 ORACLE["documents_round_trip"] = _sql("links", "SELECT * FROM links")
 ORACLE["table_round_trip"] = _sql("workflow", "SELECT * FROM workflow")

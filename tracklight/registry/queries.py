@@ -703,6 +703,25 @@ QUERIES["search_wildcards"] = _search("t order 1_%7")
 QUERIES["search_number"] = _search("user3", "10")
 
 
+def _bucketed(spark, d):
+    """Issues and workflow as tables bucketed alike."""
+    path = shared_dir(spark, "bucketed")
+    names = [f"{kind}_{path.rsplit('-', 1)[-1]}" for kind in ("issues", "workflow")]
+    for name, df in zip(names, (v.issues(spark, d), v.workflow(spark, d))):
+        tables.write_bucketed(df, name, f"{path}/{name}", 8)
+    return [spark.table(name) for name in names]
+
+
+@register
+def report_summary_bucketed(spark, d):
+    return reports.report_summary(*_bucketed(spark, d), PRIORITIES, bucketed=True)
+
+
+@register
+def stage_counts_bucketed(spark, d):
+    return reports.stage_counts(*_bucketed(spark, d), bucketed=True)
+
+
 def _changed(spark, d):
     """Issues and workflow of the touched issues, before and after the changes of their stages."""
     moved = v.workflow_changes(spark, d)

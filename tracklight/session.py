@@ -15,10 +15,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # Joins, windows and aggregates on several keys must not settle for data partitioned by some of
-    # them: the running values and ranks split a hot key by a second key, which this would undo.
-    "spark.sql.requireAllClusterKeysForCoPartition": "true",
-    "spark.sql.requireAllClusterKeysForDistribution": "true",
     # A page this deep is cut by a sort on the executors, not by a top-k merge on the driver.
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # Recording the Python line of every expression takes about half the time to build a plan.
