@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tracklight import schemas
 from tracklight.functions import text
 from tracklight.operators import notifications as n
-from tracklight.plans.sizes import broadcast_if_small
 
 
 def rows(df):
@@ -185,7 +184,11 @@ def test_delivery_against_all_pairs(spark, frame):
     assert missed == {p["push_id"] for p in pushes} - {p for p, _ in want}
 
 
-def test_broadcast_needs_a_small_side(spark):
-    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hinted(broadcast_if_small(spark.range(5), 5))
-    assert not hinted(broadcast_if_small(spark.range(6), 5))
+def test_unknown_types_need_a_default_template(spark):
+    messages = spark.createDataFrame([("a",), ("b",)], "type string")
+    templates = spark.createDataFrame([("a", "A"), ("default", "D")], "type string, template string")
+    assert {(r.type, r.template) for r in n.with_template(messages, templates).collect()} == {("a", "A"), ("b", "D")}
+    only = templates.filter("type = 'a'")
+    assert [r.template for r in n.with_template(messages.filter("type = 'a'"), only).collect()] == ["A"]
+    with pytest.raises(Exception, match="no template of type"):
+        n.with_template(messages, only).collect()

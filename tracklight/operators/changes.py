@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ntz
 from ..plans.scans import row_numbers
+from ..session import ensure_checkpoint_dir
 from .filters import TEMPORARY_NUMBER
 from .stages import STAGES
 
@@ -115,7 +116,9 @@ def new_issues(issues: DataFrame, batch: DataFrame, as_of) -> DataFrame:
         .agg(F.min("seq").alias("seq"), F.min_by(F.struct(*fields), "seq").alias("f"))
         .select("seq", "issue_number", "f.*")
     )
-    accepted = only_new(first, issues).unionByName(temporary, allowMissingColumns=True)
+    ensure_checkpoint_dir(issues.sparkSession)
+    # The numbering reads them twice, and both results of a registration number them.
+    accepted = only_new(first, issues).unionByName(temporary, allowMissingColumns=True).checkpoint()
     return _with_new_ids(accepted, issues, "issue_idx").select(
         "issue_idx",
         "issue_number",
