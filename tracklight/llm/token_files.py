@@ -24,7 +24,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import pieces
+from tracklight.llm.common import kept_by_worker, pieces
 from tracklight.llm.tokens import Encoder
 from tracklight.plans.scans import running
 
@@ -160,8 +160,8 @@ def write_corpus(
     placed = placed.select(F.spark_partition_id().cast("long").alias("shard"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        end, most = np.array([end_id], "<u4"), (1 << 8 * width) - 1
+        encoder = kept_by_worker(("encoder", tokenizer), lambda: Encoder(tokenizer))
+        end, most = struct.pack("<I", end_id), (1 << 8 * width) - 1
         store, folder = _filesystem(path)
         made, keys, documents, held, shard = [], [], [], 0, 0
 
@@ -174,18 +174,20 @@ def write_corpus(
             made.append((shard, len(made), name, len(keys), held))
 
         for batch in batches:
-            for piece in pieces(batch):
-                texts = piece.column("text").to_pylist()
-                for key, raw in zip(piece.column("doc_id").to_pylist(), encoder.encode(texts)):
-                    ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
-                    if ids.max() > most:
-                        raise ValueError(f"an id does not fit into {width} bytes")
-                    if documents and held + len(ids) > shard_ids:
+            for piece in pieces(batch, 16 << 20):
+                encoded = [raw + end for raw in encoder.encode(piece.column("text").to_pylist())]
+                ids = np.frombuffer(b"".join(encoded), "<u4")
+                if ids.max() > most:
+                    raise ValueError(f"an id does not fit into {width} bytes")
+                ids, at = ids.astype(f"<u{width}"), 0
+                for key, raw in zip(piece.column("doc_id").to_pylist(), encoded):
+                    n = len(raw) // 4
+                    if documents and held + n > shard_ids:
                         flush()
                         keys, documents, held = [], [], 0
                     keys.append(key)
-                    documents.append(ids.astype(f"<u{width}"))
-                    held += len(ids)
+                    documents.append(ids[at : at + n])
+                    held, at = held + n, at + n
                 shard = piece.column("shard")[0].as_py()
         if documents:
             flush()
@@ -259,12 +261,14 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def made(shard: Shard, first: int) -> dict[str, list]:
-        bounds = [shard.bounds(i) for i in range(shard.n)]
+        ends = [shard.ends.select(i) for i in range(shard.n)]
+        starts = [0, *ends[:-1]]
+        wide = memoryview(shard.ids.astype("<u4"))
         return {
             "doc_id": shard.doc_ids(),
-            "start": [first + s for s, _ in bounds],
-            "n_tokens": [e - s for s, e in bounds],
-            "ids_crc32": [zlib.crc32(shard.ids[s:e].astype("<u4").tobytes()) for s, e in bounds],
+            "start": [first + s for s in starts],
+            "n_tokens": [e - s for s, e in zip(starts, ends)],
+            "ids_crc32": [zlib.crc32(wide[s:e]) for s, e in zip(starts, ends)],
         }
 
     return read_corpus(spark, path, made, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -14,9 +14,10 @@ import re
 
 #: White space that can stand beside a space without being one.
 SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace() and i != 0x20]
-#: How byte-level BPE cuts plain words of ASCII without apostrophes and runs of white space.
-_PARTS = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]+|\s")
-_UNPLAIN = re.compile(r"'|\s\s|\A\s|\s\Z")
+ASCII_SPACES = [c for c in SPACES if c.isascii()]
+#: How byte-level BPE cuts plain words, which are ASCII without apostrophes and runs of white space.
+_PARTS = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9\s]+|\s")
+_PLAIN = re.compile(r"[!-&(-~]+(?:\s[!-&(-~]+)*", re.ASCII)
 
 
 def words(text: str) -> list[str]:
@@ -25,7 +26,8 @@ def words(text: str) -> list[str]:
     A word starts or ends with white space, or is empty, only where the text does.
     """
     cut = text.split(" ")
-    if not ("  " in text or not cut[0] or not cut[-1] or any(c in text and _beside(text, c) for c in SPACES)):
+    spaces = ASCII_SPACES if text.isascii() else SPACES
+    if not ("  " in text or not cut[0] or not cut[-1] or any(c in text and _beside(text, c) for c in spaces)):
         return cut
     joined = cut[:1]
     for word in cut[1:]:
@@ -43,23 +45,27 @@ def _beside(text: str, c: str) -> bool:
 class Encoder:
     """Ids of whole texts by a tokenizer file of the `tokenizers` library, as little-endian bytes.
 
-    Strings of special tokens in a text become these tokens, as the library has it by default.
+    Strings of special tokens in a text become these tokens, as the library has it by default, or
+    are ordinary text with `plain_specials`.
     """
 
-    MOST_KNOWN = 600_000
-    LONGEST = 64
+    #: Long words seldom come again; only short ones are kept, and no more of them than this.
+    MOST_KNOWN = 1_000_000
+    KEPT = 10
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", plain_specials: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = dtype
         with open(path, encoding="utf-8") as file:
             self.cuttable = cuts_at_spaces(json.load(file))
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [] if plain_specials else [t.content for t in added]
         self.first, self.later, self.parts = {}, {}, {}
         if self.cuttable:
             import numpy as np
@@ -73,36 +79,49 @@ class Encoder:
         for known in (self.first, self.later, self.parts):
             if len(known) > self.MOST_KNOWN:
                 known.clear()
-        long = [
-            *self._learn(self.first, {c[0] for c in cut if c}, ""),
-            *self._learn(self.later, set().union(*(c[1:] for c in cut if c)), " "),
-        ]
+        first, later = {c[0] for c in cut if c}, set().union(*(c[1:] for c in cut if c))
+        first = [w for w in first if w not in self.first]
+        self.first.update(zip(first, self._ids(first)))
+        later = [w for w in later if w not in self.later]
+        self._learn(later)
         encoded = iter(self._ids([t for t, w in zip(texts, whole) if w]))
         made = [
             next(encoded) if c is None else self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:]))
             for c in cut
         ]
-        for known, word in long:
-            del known[word]
+        for known, new in ((self.first, first), (self.later, later)):
+            for w in new:
+                if len(w) > self.KEPT:
+                    del known[w]
+        return made
+
+    def behind_spaces(self, new: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words with a space before it; only their parts are kept."""
+        if len(self.parts) > self.MOST_KNOWN:
+            self.parts.clear()
+        if not self.cuttable:
+            return self._ids([" " + w for w in new])
+        self._learn(new)
+        made = list(map(self.later.__getitem__, new))
+        self.later.clear()
         return made
 
-    def _learn(self, known: dict[str, bytes], found: set[str], space: str) -> list[tuple[dict, str]]:
-        """Learn the new words; returns those that are too long to be kept."""
-        new = [w for w in found if w not in known]
-        plain = [w for w in new if w.isascii() and not _UNPLAIN.search(w)]
-        cut = [_PARTS.findall(w) for w in plain]
-        for c in cut:
-            if c:
-                c[0] = space + c[0]
-        parts = [p for p in set().union(*cut) if p not in self.parts]
-        self.parts.update(zip(parts, self._ids(parts)))
-        known.update((w, b"".join([self.parts[p] for p in c])) for w, c in zip(plain, cut))
-        others = [w for w in new if w not in known] if len(plain) < len(new) else []
-        known.update(zip(others, self._ids([space + w for w in others])))
-        for p in parts:
-            if len(p) > self.LONGEST:
+    def _learn(self, new: list[str]) -> None:
+        """Learn new words that have a space before them; plain ones by their parts."""
+        plain = [w for w in new if len(w) < 100 and _PLAIN.fullmatch(w)]
+        parts = _PARTS.findall("".join([" " + w for w in plain]))
+        unknown = [p for p in set(parts) if p not in self.parts]
+        self.parts.update(zip(unknown, self._ids(unknown)))
+        raw = list(map(self.parts.__getitem__, parts))
+        starts = [i for i, p in enumerate(parts) if p[0] == " "]
+        for w, i, j in zip(plain, starts, [*starts[1:], len(parts)]):
+            self.later[w] = raw[i] if j - i == 1 else b"".join(raw[i:j])
+        for p in unknown:
+            if len(p) > self.KEPT + 1:
                 del self.parts[p]
-        return [(known, w) for w in new if len(w) > self.LONGEST]
+        if len(plain) < len(new):
+            others = [w for w in new if w not in self.later]
+            self.later.update(zip(others, self._ids([" " + w for w in others])))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. Plain words behind a space go in many at a time and are cut apart again."""
