@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -134,6 +135,24 @@ def test_last_stage_gives_the_mixed_texts(spark):
     assert any(t == 0 for _, _, t in got) and corpus.where("taken = 0 OR n_chars <> length(text)").count() == 0
 
 
+CLASHING = ("target", "source_size", "_place", "_start", "_epochs", "_partly", "_s", "_size", "Size", "_range", "Epoch",
+            "_doc", "_clean", "clean", "found", "new_text", "N_Hex", "_before", "_sum")
+
+
+def test_other_columns_may_have_any_name(spark):
+    rows = [(i, f"some words of text {i} a@b{i}.org", "s", *range(len(CLASHING))) for i in range(6)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in CLASHING)
+    docs = spark.createDataFrame(rows, schema)
+    mix = mixing.mixed(docs)
+    assert set(mix.columns) == {*docs.columns, "epoch", "taken"} - {"Epoch"}
+    clean, named = secret_scan.without_secrets(docs), pii.pseudonymised(docs)
+    assert clean.columns == docs.columns and {"n_entities", "spans", "text"} <= set(named.columns)
+    for df, gone in ((mix, {"Epoch"}), (clean, set()), (named, {"found"})):
+        for c in set(CLASHING) - gone:
+            assert {r[0] for r in df.select(f"`{c}`").collect()} == {CLASHING.index(c)}, c
+    assert mixing.mix(docs).count() == secret_scan.scan_documents(docs).count() == 6
+
+
 # Substring dedup ------------------------------------------------------------------------------
 
 
@@ -273,6 +292,14 @@ def test_names_go_on_and_other_forms_are_found():
     assert pii.entities("at 12:30:45 std::vector a::b 10:20 ::") == []
 
 
+def test_long_runs_without_a_sign_are_passed_over():
+    start = time.time()
+    for text in ("x" * 300_000, "x" * 300_000 + "@", "@" + "x" * 300_000, "a@" * 50_000, "1" * 300_000, "A1" * 150_000):
+        pii.entities(text)
+    assert time.time() - start < 20
+    assert pii.entities("x" * 5_000 + "@mail.org") == [(0, 5_009, "email")]
+
+
 def test_surrogates_of_documents(spark, awkward, nothing):
     rows = [(1, "mail a.b@c.org and a.b@c.org or 10.0.0.1"), (2, "a.b@c.org"), (3, None)]
     got = rows_of(pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "n_entities", "spans"))
