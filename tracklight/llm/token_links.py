@@ -10,16 +10,16 @@ weight, to its links; going through the postings again gives the scores of the d
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklight.llm.common import pieces
-from tracklight.llm.tokens import byte_level_tokens, cuts_at_spaces, sentence_piece_tokens, words
+from tracklight.llm.common import kept_by_worker, pieces
+from tracklight.llm.tokens import Encoder, byte_level_tokens, sentence_piece_tokens, words
 from tracklight.session import shared_dir
 
 
@@ -30,21 +30,16 @@ class Aligner:
     LONGEST_WORD = 64
 
     def __init__(self, byte_level: str, sentence_piece: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
-        import tokenizers
 
-        self.a = tokenizers.Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True  # their strings are ordinary text
+        # Strings of special tokens are ordinary text.
+        self.a = Encoder(byte_level, plain_specials=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=sentence_piece)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.a_bytes = byte_level_tokens(self.a.get_vocab())
+        self.a_bytes = byte_level_tokens(self.a.tokenizer.get_vocab())
         self.b_bytes = sentence_piece_tokens(pieces)
         self.a_size, self.b_size = (np.array(list(map(len, t))) for t in (self.a_bytes, self.b_bytes))
-        with open(byte_level, encoding="utf-8") as file:
-            self.cuttable = cuts_at_spaces(json.load(file)) and not any("▁" in p.lstrip("▁") for p in pieces)
+        self.cuttable = self.a.cuttable and not any("▁" in p.lstrip("▁") for p in pieces)
         # Ids as text, behind what separates them from the one before.
         na, nb = len(self.a_bytes), len(self.b_bytes)
         self.names = [f"{c}{i}" for c, n in ((";", na), (",", na), ("|", nb), (",", nb)) for i in range(n)]
@@ -61,17 +56,17 @@ class Aligner:
 
     def learn(self, new: list[str]) -> None:
         """Find the groups and links of words that have a space before them."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
-        b_ids = self.b.encode(new, num_threads=1)
-        want = [(" " + w).encode() for w in new]
-        valid = np.array([
-            bool(x) and bool(y) and b"".join([self.a_bytes[i] for i in x]) == w == b"".join([self.b_bytes[i] for i in y])
-            for x, y, w in zip(a_ids, b_ids, want)
-        ])
-        n_a, n_b, size = (np.array([len(x) if v else 0 for x, v in zip(t, valid)], np.int64) for t in (a_ids, b_ids, want))
-        a, b = (
-            np.fromiter((i for x, v in zip(t, valid) if v for i in x), np.int64, n.sum()) for t, n in ((a_ids, n_a), (b_ids, n_b))
-        )
+        raw, want = self.a.behind_spaces(new), [(" " + w).encode() for w in new]
+        a, n_a = np.frombuffer(b"".join(raw), "<u4").astype(np.int64), np.array([len(r) // 4 for r in raw], np.int64)
+        found = self.b.encode(new, num_threads=1)
+        n_b = np.array(list(map(len, found)), np.int64)
+        b = np.fromiter(chain.from_iterable(found), np.int64, n_b.sum())
+        size = np.array(list(map(len, want)), np.int64)
+        valid = (n_a > 0) & (n_b > 0)
+        for ids, n, tokens, sizes in ((a, n_a, self.a_bytes, self.a_size), (b, n_b, self.b_bytes, self.b_size)):
+            valid &= _whole(ids, n, tokens, sizes, want, size)
+        a, b = a[np.repeat(valid, n_a)], b[np.repeat(valid, n_b)]
+        n_a, n_b, size = (np.where(valid, n, 0) for n in (n_a, n_b, size))
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         a_cut, b_cut = np.isin(a_end, b_end, assume_unique=True), np.isin(b_end, a_end, assume_unique=True)
         a_group, b_group = np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut
@@ -126,16 +121,17 @@ class Aligner:
             self.forget()
         cut = [(words(t) if self.cuttable else [t]) if t else [] for t in texts]
         self.learn([w for w in set().union(*cut) if w not in self.known])
-        valid = self.tables()[1]
         places = [list(map(self.known.__getitem__, c)) for c in cut]
-        for i, place in enumerate(places):
-            if not valid[place].all():
-                # The whole text decides, since bytes that one word lost another may have.
-                self.learn([texts[i]])
-                place[:] = [len(self.groups) - 1]
-                valid = self.tables()[1]
         size = np.array(list(map(len, places)))
-        word = np.fromiter((w for p in places for w in p), np.int64, size.sum())
+        word = np.fromiter(chain.from_iterable(places), np.int64, size.sum())
+        if not self.tables()[1][word].all():
+            for i, place in enumerate(places):
+                if not self.tables()[1][place].all():
+                    # The whole text decides, since bytes that one word lost another may have.
+                    self.learn([texts[i]])
+                    place[:] = [len(self.groups) - 1]
+            size = np.array(list(map(len, places)))
+            word = np.fromiter(chain.from_iterable(places), np.int64, size.sum())
         owner = np.repeat(np.arange(len(texts)), size)
         numbers, _, starts, pairs, times = self.tables()
         made = np.stack([_sums(owner, numbers[word, k], len(texts)) for k in range(4)], axis=1)
@@ -154,6 +150,16 @@ class Aligner:
         return made, digests, *links
 
 
+def _whole(ids, n, tokens: list[bytes], sizes: np.ndarray, want: list[bytes], size: np.ndarray) -> np.ndarray:
+    """Whether the `n` tokens of each text are its bytes."""
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.concatenate([[0], np.cumsum(n)])]
+    made, all_ = b"".join(map(tokens.__getitem__, ids.tolist())), b"".join(want)
+    same = np.diff(ends) == size
+    if same.all() and made == all_:
+        return same
+    return np.array([made[x:y] == w for x, y, w in zip(ends[:-1].tolist(), ends[1:].tolist(), want)], bool)
+
+
 def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Exact sums of whole numbers for each owner."""
     low, high = values & (1 << 26) - 1, values >> 26
@@ -273,7 +279,8 @@ def write_alignment(docs: DataFrame, path: str, byte_level: str, sentence_piece:
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_level, sentence_piece)
+        key = ("aligner", byte_level, sentence_piece)
+        aligner = kept_by_worker(key, lambda: Aligner(byte_level, sentence_piece))
         nb = len(aligner.b_bytes)
         keys, times, done, seq, held = [], [], 0, 0, 0
 
