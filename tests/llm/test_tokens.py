@@ -305,3 +305,22 @@ def test_spectra_combine_over_several_levels(spark, monkeypatch):
     got = sorted(rows_of(whitening.whiten(vectors(spark, x, 9)).select("vec_id", "component", "whitened")))
     want = whitened(x)[0]
     assert np.allclose([r[2] for r in got], want.ravel(), atol=1e-9)
+
+
+def test_common_parts_are_encoded_once(monkeypatch):
+    encoder, asked = tokens.Encoder(BYTE_BPE), Counter()
+    encoder.MOST_KNOWN = encoder.MOST_PARTS = 5
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: asked.update(texts) or ids(texts))
+    for i in range(20):
+        encoder.encode([f"a common{'.,;:!?'[i % 6]} " + " ".join(f"x{chr(97 + i)}{chr(97 + j)}" for j in range(10))])
+    assert asked[" common"] == 1
+
+
+def test_parts_of_latin_texts(spark):
+    rng = random.Random(5)
+    bits = [*"aZ09 '\t\n\r.é×÷ßÿ\x0b\x0c-", "  ", "'s", "'ll", "'LL", " 've", "don't", "\u00aa", "\x85", "\xa0", "\x1c", "ŀ", "<|endoftext|>"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(20_000)]
+    want = [e.ids for e in tokenizers.Tokenizer.from_file(BYTE_BPE).encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(raw, "<u4").tolist() for raw in tokens.Encoder(BYTE_BPE).encode(texts)]
+    assert got == want

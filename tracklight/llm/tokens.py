@@ -18,6 +18,12 @@ ASCII_SPACES = [c for c in SPACES if c.isascii()]
 #: How byte-level BPE cuts plain words, which are ASCII without apostrophes and runs of white space.
 _PARTS = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9\s]+|\s")
 _PLAIN = re.compile(r"[!-&(-~]+(?:\s[!-&(-~]+)*", re.ASCII)
+#: How it cuts whole texts of ASCII and the letters of Latin-1, apostrophes and white space included.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_LATIN_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_LATIN_PARTS = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LATIN}]+| ?[0-9]+| ?[^\t-\r 0-9{_LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+)
 
 
 def words(text: str) -> list[str]:
@@ -52,6 +58,10 @@ class Encoder:
     #: Long words seldom come again; only short ones are kept, and no more of them than this.
     MOST_KNOWN = 600_000
     KEPT = 10
+    #: Parts of texts, which come again more often, are kept up to this length, and given up
+    #: when they were not met while so many others were.
+    KEPT_PARTS = 14
+    MOST_PARTS = 400_000
 
     def __init__(self, path: str, dtype: str = "<u4", plain_specials: bool = False):
         import os
@@ -67,6 +77,7 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [] if plain_specials else [t.content for t in added]
         self.first, self.later, self.parts = {}, {}, {}
+        self.known, self.older = {}, {}
         if self.cuttable:
             import numpy as np
 
@@ -75,6 +86,29 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [not self.cuttable or any(s in t for s in self.special) for t in texts]
+        latin = [not w and _LATIN_TEXT.fullmatch(t) is not None for t, w in zip(texts, whole)]
+        by_parts = iter(self._by_parts([t for t, is_latin in zip(texts, latin) if is_latin]))
+        others = [(t, w) for t, w, is_latin in zip(texts, whole, latin) if not is_latin]
+        by_words = iter(self._by_words([t for t, _ in others], [w for _, w in others]))
+        return [next(by_parts if is_latin else by_words) for is_latin in latin]
+
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
+        """The ids of Latin texts, each distinct part encoded once."""
+        if len(self.known) > self.MOST_PARTS:
+            self.known, self.older = {}, self.known
+        cut = [_LATIN_PARTS.findall(t) for t in texts]
+        missing = set().union(*cut).difference(self.known)
+        self.known.update((p, self.older[p]) for p in missing if p in self.older)
+        new = list(missing.difference(self.older))
+        self.known.update(zip(new, self._ids(new)))
+        made = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for p in new:
+            if len(p) > self.KEPT_PARTS:
+                del self.known[p]
+        return made
+
+    def _by_words(self, texts: list[str], whole: list[bool]) -> list[bytes]:
+        """The ids of texts by their words, or of the whole text."""
         cut = [None if w else words(t) for t, w in zip(texts, whole)]
         for known in (self.first, self.later, self.parts):
             if len(known) > self.MOST_KNOWN:
