@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklight import schemas
 from tracklight.operators import notifications, usage
+from tracklight.operators.memos import expire_memos
 from tracklight.registry import views as v
 from tracklight.sources.tables import read_usage_stream
 from tracklight.streaming import jobs, runs
@@ -273,3 +274,16 @@ def test_memos_that_expire_are_written_once(spark, feed, tmp_path):
     assert [r[0] for r in rows(jobs.live_memos(spark, path))] == [1, 3, 6, 7]
     assert sorted(r.pos for r in jobs.expired_memos(spark, path).collect()) == [0, 2, 4, 5]
     assert jobs.live_memos(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_memos_of_many_hours_are_few_files(spark, feed, tmp_path):
+    """The files of a run follow its size, not the number of hours in which its memos expire."""
+    start = dt(2024, 1, 1, 0)
+    memos = [(i, f"k{i}", "t", "c", start + timedelta(hours=i), i % 4 > 0) for i in range(300)]
+    stream, events = feed(schemas.MEMOS, memos[::2], memos[1::2])
+    path, now = tmp_path / "job", start + timedelta(hours=100)
+    run(jobs.stream_memo_expiry(stream, str(path), lambda _: now, available_now=True))
+    live = expire_memos(events, now).select(*schemas.MEMOS.names)
+    assert rows(jobs.live_memos(spark, str(path))) == rows(live)
+    assert rows(jobs.expired_memos(spark, str(path))) == rows(events.select(*schemas.MEMOS.names).exceptAll(live))
+    assert len(list((path / "memos").rglob("*.parquet"))) <= 2 * 8

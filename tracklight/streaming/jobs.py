@@ -391,23 +391,23 @@ _NEVER, _HOUR = "never", "yyyyMMddHH"
 
 
 def _memo_log(spark: SparkSession, path: str, clock=None) -> RunLog:
-    """Memos by the hour in which they expire; merges leave out what has expired at `clock`."""
+    """Memos in the order in which they expire; merges leave out what has expired at `clock`."""
 
     def left(rows: DataFrame) -> DataFrame:
         return rows if clock is None else _live(rows, clock)
 
-    return RunLog(spark, path, "memos", _EXPIRING, left, partition_by="expires")
+    return RunLog(spark, path, "memos", _EXPIRING, left, order_by=("expires", "pos"))
 
 
 def _expires(hours: int) -> Column:
-    """The hour in which a memo expires, which names its folder."""
+    """The hour in which a memo expires, by which it is stored."""
     ends = F.col("datetime") + F.make_dt_interval(F.lit(0), F.lit(hours))
     hour = F.coalesce(F.date_format(ends, _HOUR), F.lit("0"))
     return F.when(F.coalesce("autoDelete", F.lit(False)), hour).otherwise(F.lit(_NEVER))
 
 
 def _live(rows: DataFrame, clock) -> DataFrame:
-    """Rows not expired; the folders of past hours are not read."""
+    """Rows not expired; what is stored of past hours is passed over."""
     return expire_memos(rows.filter(F.col("expires") >= F.date_format(ntz(clock), _HOUR)), clock)
 
 
@@ -417,9 +417,10 @@ def stream_memo_expiry(
     """Keep the memos that have not expired from a stream of new ones, and write those that have.
 
     `clock` gives the time of a batch by its id, so that a repeated batch sees the same time; a
-    clock that goes back is taken to stand still. Memos lie in folders by the hour in which they
-    expire. A batch writes its own memos and, as `expired`, those whose time has come since the
-    batch before: it reads the folders of these hours alone. Merged runs have no expired memos.
+    clock that goes back is taken to stand still. Memos lie in the order of the hours in which they
+    expire, in as many files as their size asks for. A batch writes its own memos and, as `expired`,
+    those whose time has come since the batch before: of the runs it reads the parts of these hours.
+    Merged runs have no expired memos.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:

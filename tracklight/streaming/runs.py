@@ -12,7 +12,6 @@ A repeated batch writes the same folder from the same runs. `tidy` removes runs
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -55,7 +54,8 @@ class RunLog:
     """The table `name` below `path`.
 
     `fold` makes of the rows of some runs fewer that say the same; it must not matter in which
-    order and how often it is applied. Readers apply it to what they get.
+    order and how often it is applied. Readers apply it to what they get. A run lies in the order of
+    `order_by`, so that filters on its first column pass over most of what they do not want.
     """
 
     def __init__(
@@ -65,10 +65,10 @@ class RunLog:
         name: str,
         schema: T.StructType,
         fold: Callable[[DataFrame], DataFrame] | None = None,
-        partition_by: str | None = None,
+        order_by: tuple[str, ...] = (),
     ):
         self.spark, self.path, self.schema = spark, f"{path}/{name}", schema
-        self.fold, self.partition_by = fold or (lambda rows: rows), partition_by
+        self.fold, self.order_by = fold or (lambda rows: rows), order_by
 
     def _folder(self, level: int, end: int) -> str:
         return f"{self.path}/level={level}/run={end}"
@@ -78,10 +78,7 @@ class RunLog:
             return self.spark.createDataFrame([], self.schema)
         # Each run is named, so that files of others, whole or not, are never seen.
         folders = [self._folder(*run) for run in runs]
-        read = self.spark.read.schema(self.schema)
-        # Folders of partitions have to be read apart.
-        frames = [read.parquet(f) for f in folders] if self.partition_by else [read.parquet(*folders)]
-        return reduce(DataFrame.unionByName, (f.select(*self.schema.names) for f in frames))
+        return self.spark.read.schema(self.schema).parquet(*folders)
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Write the run of batch `batch_id`."""
@@ -90,11 +87,9 @@ class RunLog:
         merged = before[len(after) - 1 :]
         rows = rows.select(*self.schema.names)
         rows = self.fold(rows.unionByName(self._rows(merged)) if merged else rows)
-        writer = rows.write.mode("overwrite")
-        if self.partition_by:
-            # Replace the folder as a whole, whatever the session has for partitions.
-            writer = writer.partitionBy(self.partition_by).option("partitionOverwriteMode", "static")
-        writer.parquet(self._folder(level, end))
+        if self.order_by:
+            rows = rows.repartitionByRange(*self.order_by).sortWithinPartitions(*self.order_by)
+        rows.write.mode("overwrite").parquet(self._folder(level, end))
 
     def read(self, last: int) -> DataFrame:
         """All rows up to batch `last`, folded."""
