@@ -180,3 +180,14 @@ def test_nested_rows_as_json(spark, staged):
     nested = listing.issue_list(*staged, None, "ascend", "issue_created_on", 2, 5).select("issue_idx", "createdate", "workflow")
     one = tables.to_json_rows(nested).first().json
     assert '"workflow":[{"issue_idx":' in one and '"createdate":"' in one and one.count('"progress_idx"') == 7
+
+
+def test_small_ranges_share_tasks(spark, monkeypatch):
+    monkeypatch.setattr(paging, "RANGE_ROWS", 500)
+    issues = v.issues(spark, "/root/testdata/sf0.001")
+    directory = paging.page_directory(issues, "ascend", "issue_created_on", range_rows=10)
+    assert ", 3), REPARTITION_BY_NUM" in directory._jdf.queryExecution().executedPlan().toString()
+    got, n = directory.orderBy("range").collect(), issues.count()
+    assert n == 1500 and sum(r.n for r in got) == n and max(r.n for r in got) == 10 and 150 <= len(got) <= 153
+    ends = [tuple(e) for r in got for e in (r["first"], r["last"])]
+    assert ends == sorted(ends)

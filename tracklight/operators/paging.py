@@ -31,18 +31,21 @@ def page_directory(
     """(range, n, first, last): the ranges of `rows` in the order of `list_order`.
 
     `rows` have the sort field and issue_idx, which is unique. `first` and `last` are the sort value
-    and issue_idx of the ends. A value that many rows share is cut by issue_idx.
+    and issue_idx of the ends. A value that many rows share is cut by issue_idx. `range` rises along
+    the order. Small ranges share a task, so their number does not make more tasks.
     """
     name = _field(order, field)
     rising = order == "ascend"
-    ranges = max(1, math.ceil(rows.count() / range_rows))
-    ranged = rows.select(F.col(name).alias("value"), "issue_idx").repartitionByRange(
-        ranges, *[F.col("value").asc_nulls_last() if rising else F.col("value").desc_nulls_first(), F.col("issue_idx").asc()]
-    )
+    tasks = max(1, math.ceil(rows.count() / max(range_rows, RANGE_ROWS)))
+    ordered = [F.col("value").asc_nulls_last() if rising else F.col("value").desc_nulls_first(), F.col("issue_idx").asc()]
+    ranged = rows.select(F.col(name).alias("value"), "issue_idx").repartitionByRange(tasks, *ordered)
+    # The place within its task is in the lower bits of this id, the task in those above.
+    placed = ranged.sortWithinPartitions(*ordered).withColumn("_at", F.monotonically_increasing_id())
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     # The key rises along a rising order and falls along a falling one; ties always go by rising id.
     idx = F.col("issue_idx") if rising else -F.col("issue_idx")
     key = F.struct(F.col("value").isNull().alias("missing"), "value", idx.alias("idx"))
-    ends = ranged.groupBy(F.spark_partition_id().alias("range")).agg(
+    ends = placed.groupBy((F.col("_at") - inside % range_rows).alias("range")).agg(
         F.count(F.lit(1)).alias("n"), F.min(key).alias("_low"), F.max(key).alias("_high")
     )
     end = lambda c: F.struct(F.col(f"{c}.value").alias("value"), F.abs(f"{c}.idx").alias("issue_idx"))
