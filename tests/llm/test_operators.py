@@ -592,3 +592,10 @@ def test_pipeline_of_nothing(spark):
     empty = table(spark, SMALL, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_the_mix_keeps_no_copy_of_the_texts(spark, monkeypatch):
+    kept, checkpointed = [], mixing.checkpointed
+    monkeypatch.setattr(mixing, "checkpointed", lambda df: kept.append(df.columns) or checkpointed(df))
+    assert mixing.mixed(table(spark, SMALL, "documents")).count() > 0
+    assert kept and not any("_doc" in columns for columns in kept)

@@ -108,7 +108,8 @@ def mixed(
     All columns of `docs` stay; epoch counts from 1, and taken (long) is the number of words of the row.
     The last document of a source is cut behind its last word that is taken. Documents of which nothing
     is taken are not in it. Columns of `docs` named epoch or taken, in any case, give way; others
-    may have any name.
+    may have any name. `docs` is read twice, for the sizes and for the rows, and so must give the same
+    rows again; no copy of its texts is kept between.
     """
     kept = [c for c in docs.columns if c.lower() not in ("epoch", "taken")]
     rows = docs.select(
@@ -149,16 +150,18 @@ def taken_words(docs: DataFrame, corpus: DataFrame) -> DataFrame:
 def _placed(
     rows: DataFrame, weights: tuple[int, ...], share: float, most_epochs: int, seed: str
 ) -> DataFrame:
-    """Rows with doc_id, source and size, and how often each is taken whole (_epochs) and in part (_partly)."""
-    sized = checkpointed(
-        rows.select(
-            "*",
-            F.md5(
-                F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-                .cast("binary")
-            ).alias("_place"),
-        )
+    """Rows with doc_id, source and size, and how often each is taken whole (_epochs) and in part (_partly).
+
+    Only the sizes are kept; other columns are read again where they go into the result.
+    """
+    hashed = rows.select(
+        "*",
+        F.md5(
+            F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+            .cast("binary")
+        ).alias("_place"),
     )
+    sized = checkpointed(hashed.select("doc_id", "source", "size", "_place"))
     sources = checkpointed(
         sized.groupBy("source").agg(
             F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")
@@ -167,11 +170,12 @@ def _placed(
     rows = sources.agg(F.sum("_rows")).first()[0] or 0
     ranges = max(1, math.isqrt(rows))
     key_start = F.conv(F.substring("_place", 1, 8), 16, 10).cast("long")
-    ranged = sized.withColumn("_range", F.shiftright(key_start * ranges, 32))
+    in_range = F.shiftright(key_start * ranges, 32).alias("_range")
+    ranged = (hashed if len(hashed.columns) > len(sized.columns) else sized).select("*", in_range)
 
     same = [F.col("source"), F.col("_range")]
     before = [Window.unboundedPreceding, -1]
-    starts = ranged.groupBy(*same).agg(F.sum("size").alias("_sum"))
+    starts = sized.select("source", "size", in_range).groupBy(*same).agg(F.sum("size").alias("_sum"))
     over_ranges = Window.partitionBy("source").orderBy("_range").rowsBetween(*before)
     starts = starts.select(*same, _sum_before("_sum", over_ranges).alias("_start"))
     targets = source_targets(sources.drop("_rows"), weights, share, most_epochs)
