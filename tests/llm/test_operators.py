@@ -153,6 +153,44 @@ def test_other_columns_may_have_any_name(spark):
     assert mixing.mix(docs).count() == secret_scan.scan_documents(docs).count() == 6
 
 
+def test_mixed_texts_stay_where_they_are_read(spark):
+    """Texts go through no shuffle, also where no table is small enough to be sent without being asked."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = mixing.mixed(table(spark, SMALL, "documents"))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Join" in plan and not any(step in plan for step in ("hashpartitioning", "Sort", "Window"))
+
+
+@pytest.mark.parametrize("most_sent", [mixing.MOST_SENT, (0, 0)])
+def test_mix_ends_among_rows_alike(spark, monkeypatch, most_sent):
+    """Rows of one id and size among which the last epoch ends, each with a text of its own."""
+    monkeypatch.setattr(mixing, "MOST_SENT", most_sent)
+    rows = [(None, f"no id {i} x", s) for i in range(15) for s in ("a", None)]
+    rows += [(7, f"one {i}", "b") for i in range(11)] + [(None, None, "b"), (8, "", "b"), (9, " ", "empty")]
+    rows += [(i % 3, f"w{i} " * (i % 4), "c") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share in (0.3, 0.71, 1.5):
+        corpus = rows_of(mixing.mixed(docs, share=share))
+        size, taken = Counter(), Counter()
+        for d, t, s, _, n in corpus:
+            assert n == len(ascii_words(t)) > 0
+            assert any((d, s) == (e, z) and (u or "").startswith(t) for e, u, z in rows)
+            taken[d, n] += 1
+            size[d] += n
+        want = Counter()
+        for d, _, n in mixed(rows, share=share):
+            want[d] += n
+        assert size == +want
+        parts = {(d, k): (t // k, t % k) for d, k, t in mixed(rows, share=share) if k and t % k}
+        assert parts and all(taken[d, part] > 0 for (d, _), (_, part) in parts.items())
+        again = mixing.mixed(docs.repartition(3), share=share)
+        assert Counter(corpus) == Counter(rows_of(again))
+
+
 # Substring dedup ------------------------------------------------------------------------------
 
 

@@ -13,6 +13,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
 SEED = "mix"
+#: A table of this many sources, with names of this many characters in all, goes to all executors.
+MOST_SENT = (50_000, 5_000_000)
 
 
 def numbered_by_range(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -108,17 +110,20 @@ def mixed(
     All columns of `docs` stay; epoch counts from 1, and taken (long) is the number of words of the row.
     The last document of a source is cut behind its last word that is taken. Documents of which nothing
     is taken are not in it. Columns of `docs` named epoch or taken, in any case, give way; others
-    may have any name. `docs` is read twice, for the sizes and for the rows, and so must give the same
-    rows again; no copy of its texts is kept between.
+    may have any name. `docs` is read for the sizes and again for the rows, and so must give the same
+    rows; no copy of its texts is kept between. Of rows alike in id, source and size, among which the
+    last epoch ends, those first by a hash of their text are taken.
+
+    The sizes decide where the last epoch of each source ends; a row is then compared with that place
+    alone. So texts stay in the task that reads them, unless there are too many sources to send to all.
     """
     kept = [c for c in docs.columns if c.lower() not in ("epoch", "taken")]
-    rows = docs.select(
-        "doc_id",
-        "source",
-        word_count("text").alias("size"),
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc"),
+    sizes = docs.select("doc_id", "source", word_count("text").alias("size"))
+    ends = _ends(_placed(sizes, weights, share, most_epochs, seed))
+    doc = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_doc")
+    placed = _by_ends(
+        docs.select("doc_id", "source", word_count("text").alias("size"), _place(seed), doc), ends
     )
-    placed = _placed(rows, weights, share, most_epochs, seed)
     last = F.when(F.col("_partly") > 0, F.array(F.struct((F.col("_epochs") + 1).alias("epoch"), F.col("_partly").alias("taken"))))
     whole = F.when(
         (F.col("_epochs") > 0) & (F.col("size") > 0),
@@ -148,20 +153,14 @@ def taken_words(docs: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def _placed(
-    rows: DataFrame, weights: tuple[int, ...], share: float, most_epochs: int, seed: str
+    sizes: DataFrame, weights: tuple[int, ...], share: float, most_epochs: int, seed: str
 ) -> DataFrame:
     """Rows with doc_id, source and size, and how often each is taken whole (_epochs) and in part (_partly).
 
-    Only the sizes are kept; other columns are read again where they go into the result.
+    A source is gone through by _place, doc_id and size; _nth counts rows alike in these, from 0, and
+    _alike is their number.
     """
-    hashed = rows.select(
-        "*",
-        F.md5(
-            F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-            .cast("binary")
-        ).alias("_place"),
-    )
-    sized = checkpointed(hashed.select("doc_id", "source", "size", "_place"))
+    sized = checkpointed(sizes.select("doc_id", "source", "size", _place(seed)))
     sources = checkpointed(
         sized.groupBy("source").agg(
             F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")
@@ -170,21 +169,27 @@ def _placed(
     rows = sources.agg(F.sum("_rows")).first()[0] or 0
     ranges = max(1, math.isqrt(rows))
     key_start = F.conv(F.substring("_place", 1, 8), 16, 10).cast("long")
-    in_range = F.shiftright(key_start * ranges, 32).alias("_range")
-    ranged = (hashed if len(hashed.columns) > len(sized.columns) else sized).select("*", in_range)
+    ranged = sized.withColumn("_range", F.shiftright(key_start * ranges, 32))
 
     same = [F.col("source"), F.col("_range")]
     before = [Window.unboundedPreceding, -1]
-    starts = sized.select("source", "size", in_range).groupBy(*same).agg(F.sum("size").alias("_sum"))
+    starts = ranged.groupBy(*same).agg(F.sum("size").alias("_sum"))
     over_ranges = Window.partitionBy("source").orderBy("_range").rowsBetween(*before)
     starts = starts.select(*same, _sum_before("_sum", over_ranges).alias("_start"))
     targets = source_targets(sources.drop("_rows"), weights, share, most_epochs)
     starts = _join_source(starts, targets)
 
-    inside = Window.partitionBy(*same).orderBy("_place", "doc_id", "size").rowsBetween(*before)
-    placed = _join_source(
-        ranged.withColumn("_inside", _sum_before("size", inside)), starts, "_range"
-    ).withColumn("_before", F.col("_start") + F.col("_inside"))
+    order = ["_place", "doc_id", "size"]
+    inside = Window.partitionBy(*same).orderBy(*order)
+    counted = ranged.select(
+        "*",
+        _sum_before("size", inside.rowsBetween(*before)).alias("_inside"),
+        (F.row_number().over(inside) - F.rank().over(inside)).alias("_nth"),
+        F.count(F.lit(1)).over(Window.partitionBy(*same, *order)).alias("_alike"),
+    )
+    placed = _join_source(counted, starts, "_range").withColumn(
+        "_before", F.col("_start") + F.col("_inside")
+    )
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - epochs * F.col("source_size")
@@ -192,6 +197,46 @@ def _placed(
     return placed.select("*", epochs.cast("long").alias("_epochs"), partly.cast("long").alias("_partly"))
 
 
+def _ends(placed: DataFrame) -> DataFrame:
+    """(source, _epochs, _end): the last row of each source that is taken in part, NULL if none is."""
+    end = F.struct("_place", "doc_id", "size", "_nth", "_partly", "_alike")
+    return checkpointed(
+        placed.groupBy("source").agg(
+            F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("_partly") > 0, end)).alias("_end")
+        )
+    )
+
+
+def _by_ends(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Add _epochs and _partly to rows with doc_id, source, size, _place and _doc."""
+    n, letters, tied = ends.agg(
+        F.count(F.lit(1)), F.sum(F.length("source")), F.count_if(F.col("_end._alike") > 1)
+    ).first()
+    few = n <= MOST_SENT[0] and (letters or 0) <= MOST_SENT[1]
+    rows = _join_source(rows, F.broadcast(ends) if few else ends)
+    here = F.struct("_place", "doc_id", "size")
+    end = F.struct(*[F.col(f"_end.{c}").alias(c) for c in ("_place", "doc_id", "size")])
+    at_end = F.col("_end").isNotNull() & (here == end)
+    if tied:
+        # Only rows alike in all by which they are placed have to meet to be counted.
+        met = F.coalesce(at_end & (F.col("_end._alike") > 1), F.lit(False))
+        inside = Window.partitionBy("source").orderBy(F.xxhash64("_doc.text"))
+        alike = rows.filter(met).withColumn("_nth", F.row_number().over(inside) - 1)
+        rows = rows.filter(~met).withColumn("_nth", F.lit(0)).unionByName(alike)
+    else:
+        rows = rows.withColumn("_nth", F.lit(0))
+    last = at_end & (F.col("_nth") == F.col("_end._nth"))
+    taken = (here < end) | (at_end & (F.col("_nth") < F.col("_end._nth")))
+    partly = F.when(last, F.col("_end._partly")).when(F.col("_end").isNotNull() & taken, F.col("size"))
+    return rows.withColumn("_partly", F.coalesce(partly, F.lit(0)).cast("long"))
+
+
+def _place(seed: str) -> Column:
+    """Where a document stands in its source: a keyed hash of its id."""
+    key = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return F.md5(key.cast("binary")).alias("_place")
+
+
 def _sum_before(value: str, window) -> Column:
     return F.coalesce(F.sum(value).over(window), F.lit(0)).cast("long")
 
