@@ -40,3 +40,10 @@ def small_blocks(monkeypatch):
     from tracklight.plans import scans
 
     monkeypatch.setattr(scans, "BLOCK_BITS", 2)
+
+
+@pytest.fixture(scope="module", autouse=True)
+def nothing_left_cached(spark):
+    """Tables that a module caches would answer the scans of those after it."""
+    yield
+    spark.catalog.clearCache()
